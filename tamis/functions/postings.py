@@ -22,19 +22,24 @@ def capitalize_first(c: Column | str) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
 
 
-def posting_block(number: Column, title: Column, company: Column, level: Column, url: Column) -> Column:
-    """One numbered entry of a digest; absent company and url lines are left out."""
+def posting_body(title: Column, company: Column, level: Column, url: Column) -> Column:
+    """A digest entry without its number; absent company and url lines are left out."""
     name = F.coalesce(F.nullif(capitalize_first(title), F.lit("")), F.lit("—"))
     grade = F.coalesce(F.nullif(F.array_join(level, ", "), F.lit("")), F.lit("не указан"))
     return F.concat_ws(
         "\n",
-        F.concat(number.cast("string"), F.lit(". *"), name, F.lit("*")),
+        F.concat(F.lit("*"), name, F.lit("*")),
         F.concat(F.lit("🏢 "), F.nullif(capitalize_first(company), F.lit(""))),
         F.concat(F.lit("🎯 Грейд: "), grade),
         F.nullif(url, F.lit("")),
     )
 
 
+def posting_block(number: Column, title: Column, company: Column, level: Column, url: Column) -> Column:
+    """One numbered entry of a digest."""
+    return F.concat(number.cast("string"), F.lit(". "), posting_body(title, company, level, url))
+
+
 def caption(keys: Column, labels: Mapping[str, str], everything: str) -> Column:
     """Readable list of chosen keys; unknown keys are shown as they are, none chosen means all."""
     named = F.array_join(F.transform(keys, lambda k: lookup(k, labels)), ", ")
