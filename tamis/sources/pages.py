@@ -14,7 +14,7 @@ from ..functions.base import col, let, lookup
 from ..functions.dates import is_recent, parse_day_month, parse_relative
 from ..functions.matching import find_keywords, guess_level
 from ..functions.money import parse_salary
-from ..functions.text import joined_html, resolve_url, strip_html
+from ..functions.text import decode_entities, joined_html, resolve_url, strip_html
 from ..rules.fixed import LEVEL_TAXONOMY, SKILLS_VOCABULARY
 
 GEEKJOB_URL = "https://geekjob.ru/vacancies"
@@ -92,7 +92,7 @@ def attribute(html: Column, open_pattern: str, name: str) -> Column:
     bare = open_pattern.removeprefix("(?i)")
     tag_text = F.regexp_extract(html, f"(?i)({bare})", 1)
     found = F.regexp_extract(tag_text, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1)
-    return F.when(F.rlike(html, F.lit(open_pattern)), found)
+    return F.when(F.rlike(html, F.lit(open_pattern)), decode_entities(found))
 
 
 def explode_cards(pages: DataFrame, tag: str, open_pattern: str) -> DataFrame:
