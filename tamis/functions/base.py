@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Mapping
 
@@ -41,15 +42,18 @@ def whole_words(terms: Iterable[str]) -> str:
 
 
 def text_array(values: Iterable[str]) -> Column:
-    items = [F.lit(v) for v in values]
-    return F.array(*items) if items else F.array().cast("array<string>")
+    """Constant array of texts (one folded literal, however long)."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), "array<string>")
+
+
+def text_map(mapping: Mapping[str, str]) -> Column:
+    """Constant map of texts."""
+    return F.from_json(F.lit(json.dumps(dict(mapping), ensure_ascii=False)), "map<string,string>")
 
 
 def lookup(c: Column, mapping: Mapping[str, str], default: Column | None = None) -> Column:
     """Translate ``c`` through a small constant mapping; other values give ``default`` (or stay)."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), c) if pairs else F.lit(None).cast("string")
-    return F.coalesce(found, c if default is None else default)
+    return F.coalesce(F.try_element_at(text_map(mapping), c), c if default is None else default)
 
 
 def contains_any(c: Column, needles: Iterable[str]) -> Column:

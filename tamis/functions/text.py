@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import SPACE, col, contains_any, let, lookup
+from .base import SPACE, col, contains_any, let, lookup, text_map
 
 # --- fixed values: spellings of cities that mean the same place -------------------------------
 LOCATION_ALIASES = {
@@ -81,7 +81,7 @@ _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
 
 def decode_entities(c: Column | str) -> Column:
     """Resolve named (HTML 4 set) and numeric character references; unknown names stay as written."""
-    named = F.create_map(*[F.lit(x) for name, cp in name2codepoint.items() for x in (name, chr(cp))] + [F.lit("apos"), F.lit("'")])
+    named = text_map({name: chr(cp) for name, cp in name2codepoint.items()} | {"apos": "'"})
 
     def char(code: Column, base: int) -> Column:
         point = F.conv(code, base, 10).cast("long")
