@@ -186,17 +186,17 @@ def phrase_scrub(spark, sf):
     return docs.select("doc_id", F.md5("x").alias("text_md5"), F.length("x").cast("bigint").alias("text_len"))
 
 
-_CLASSIFIED = f"""SELECT company, title, roles, excluded, {", ".join(f"list_filter({sql_list(w)}, lambda k: contains({industry_sql(i)}, k)) AS hit_{i}" for i, w in R.industries.items())}
-    FROM (SELECT lang AS company, title, lower(concat_ws(' ', title, lang, text)) AS low, {taxonomy_sql('title', R.roles)} AS roles,
+CLASSIFIED = f"""SELECT url, company, title, roles, excluded, {", ".join(f"list_filter({sql_list(w)}, lambda k: contains({industry_sql(i)}, k)) AS hit_{i}" for i, w in R.industries.items())}
+    FROM (SELECT doc_id::VARCHAR AS url, lang AS company, title, lower(concat_ws(' ', title, lang, text)) AS low, {taxonomy_sql('title', R.roles)} AS roles,
           {taxonomy_sql('title', {r: [r] for r in R.excluded_roles})} AS excluded
           FROM (SELECT *, {TITLE_SQL} AS title FROM documents))"""
-_ANY = " OR ".join(f"len(hit_{i}) > 0" for i in R.industries)
+ANY_HIT = " OR ".join(f"len(hit_{i}) > 0" for i in R.industries)
 
 
 @register(
     "classify_funnel",
     f"""SELECT company, count(*) AS n, count(*) FILTER (WHERE len(roles) > 0 AND len(excluded) = 0) AS n_role,
-        count(*) FILTER (WHERE len(roles) > 0 AND len(excluded) = 0 AND ({_ANY})) AS n_target FROM ({_CLASSIFIED}) GROUP BY company""",
+        count(*) FILTER (WHERE len(roles) > 0 AND len(excluded) = 0 AND ({ANY_HIT})) AS n_target FROM ({CLASSIFIED}) GROUP BY company""",
 )
 def classify_funnel(spark, sf):
     done = classify(postings(spark, sf), R)
@@ -211,7 +211,7 @@ def classify_funnel(spark, sf):
     " UNION ALL ".join(
         f"SELECT '{i}' AS industry, count(*) FILTER (WHERE len(hit_{i}) > 0) AS n, coalesce(sum(len(hit_{i})), 0)::BIGINT AS n_words FROM classified"
         for i in R.industries
-    ).join([f"WITH classified AS ({_CLASSIFIED}) ", ""]),
+    ).join([f"WITH classified AS ({CLASSIFIED}) ", ""]),
 )
 def industry_hits(spark, sf):
     done = classify(postings(spark, sf), R, wide=True)
