@@ -91,15 +91,17 @@ def _apply_commands(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
     """Commands of one chat in update order, folded into its state."""
     ind, role, status, reset_at, created, updated = state.get if state.exists else ([], [], None, None, None, None)
     chosen = {"ind": set(ind), "role": set(role)}
-    for pdf in batches:
-        for kind, ts, name, value in pdf.sort_values("update_id")[["kind", "ts", "filter", "value"]].itertuples(index=False):
-            if kind == "start" and status != "active":
-                chosen, status, updated, created = {"ind": set(), "role": set()}, "active", ts, created if created is not None else ts
-            elif kind == "stop" and status is not None:
-                status, updated = "stopped", ts
-            elif kind in ("toggle", "reset") and status == "active":
-                chosen[name] = chosen[name] ^ {value} if kind == "toggle" else set()
-                reset_at = updated = ts
+    # chunks of one chat arrive in no order; together they are at most this micro-batch
+    log = pd.concat(list(batches)).sort_values("update_id")[["kind", "ts", "filter", "value"]]
+    for kind, ts, name, value in log.itertuples(index=False):
+        if kind == "start" and status != "active":
+            chosen, status, updated = {"ind": set(), "role": set()}, "active", ts
+            created = ts if created is None else created
+        elif kind == "stop" and status is not None:
+            status, updated = "stopped", ts
+        elif kind in ("toggle", "reset") and status == "active":
+            chosen[name] = chosen[name] ^ {value} if kind == "toggle" else set()
+            reset_at = updated = ts
     if status is None:
         return
     ind, role = sorted(chosen["ind"]), sorted(chosen["role"])
