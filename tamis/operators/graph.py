@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SMALL_COMPONENT_EDGES = 20_000  # a component up to this size is finished inside one task
+SMALL_COMPONENT_EDGES = 300_000  # a component up to this size is finished inside one task (some 100 MB)
 ROUNDS_PER_PASS = 4
 
 

@@ -13,13 +13,15 @@ from ..rules import RuleSet
 TEXT_TABLES = {"documents", "pages"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows that are costly to parse over the cores, when they arrive in fewer splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A supplied table. Text that arrives in fewer splits than there are cores is spread over them."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def registry() -> tuple[dict, dict, Callable]:

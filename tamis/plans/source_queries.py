@@ -12,7 +12,7 @@ from ..rules.fixed import SKILLS_VOCABULARY
 from ..session import scratch_path
 from ..sources import labels, offers, pages
 from ..sources.union import union_sources
-from .inputs import TITLE_SQL, postings, registry, table
+from .inputs import TITLE_SQL, postings, registry, spread, table
 from .text_queries import sql_list
 
 QUERIES, ORACLES, register = registry()
@@ -64,7 +64,8 @@ def _listing(spark, sf, card) -> DataFrame:
     """Listing pages of twenty cards each, made of parts."""
     cards = table(spark, sf, "part").select(F.expr("p_partkey div 20").alias("page"), "p_partkey", card.alias("card"))
     body = F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))).getField("card"), "\n")
-    return cards.groupBy("page").agg(F.concat(F.lit("<html><body><ul>"), body, F.lit("</ul></body></html>")).alias("html"))
+    made = cards.groupBy("page").agg(F.concat(F.lit("<html><body><ul>"), body, F.lit("</ul></body></html>")).alias("html"))
+    return made.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _geekjob_card():
@@ -98,7 +99,7 @@ def _geekjob_details(spark, sf) -> DataFrame:
         F.lit(" </div> итог<script>var go = 1;</script></div><div>after</div>"),
     )
     url = F.concat(F.lit("https://geekjob.ru/vacancy/"), F.col("p_partkey").cast("string"), F.lit("?a=1&b=2"))
-    return table(spark, sf, "part").filter("p_size > 5").select(url.alias("url"), html.alias("html"))
+    return spread(table(spark, sf, "part")).filter("p_size > 5").select(url.alias("url"), html.alias("html"))
 
 
 @register(
@@ -152,7 +153,7 @@ def _hirify_details(spark, sf) -> DataFrame:
         F.lit('<div class="common-detail-item"><div class="label">Пусто</div></div>'), grade,
         F.lit('</div><div class="vacancy-detail-tags"><button class="tag">'), F.col("p_brand"), F.lit('</button><button class="tag x">SQL</button><button>no</button></div>'),
     )
-    return table(spark, sf, "part").filter("p_size > 2").select(url.alias("url"), html.alias("html"))
+    return spread(table(spark, sf, "part")).filter("p_size > 2").select(url.alias("url"), html.alias("html"))
 
 
 @register(
@@ -208,7 +209,7 @@ def _payloads(spark, sf) -> DataFrame:
     )
     rows = table(spark, sf, "events").select(F.expr("event_id div 50").alias("feed"), offer.alias("o"))
     body = F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("total")).alias("meta"), F.collect_list("o").alias("offers")))
-    return rows.groupBy("feed").agg(body.alias("payload"))
+    return rows.groupBy("feed").agg(body.alias("payload")).repartition(spark.sparkContext.defaultParallelism)
 
 
 @register(

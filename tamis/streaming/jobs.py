@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import store
+from ..plans.batch import run_batch
+from ..rules import RuleSet
 from ..schemas import SUBSCRIBER
 
 
-def read_files(spark: SparkSession, folder: str, schema: str, name_filter: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, schema: str | StructType, name_filter: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     """Stream of landed Parquet files. The checkpoint remembers which files were taken."""
     return (
         spark.readStream.schema(schema)
@@ -82,6 +85,18 @@ def route_bad_records(stream: DataFrame, schema: str, good: Callable[[DataFrame,
     return every_batch(stream, work, checkpoint)
 
 
+def recurring_runs(stream: DataFrame, root: str, checkpoint: str, now: Callable[[int], Column], rules: RuleSet, rates: DataFrame) -> StreamingQuery:
+    """A collection run per batch of landed postings; the batch number gives the run id.
+
+    A run that fails is logged and stops the query; started again, it takes up the same batch.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        run_batch(batch.sparkSession, {"landed": lambda: batch}, root, batch_id + 1, now(batch_id), rules, rates)
+
+    return every_batch(stream, work, checkpoint)
+
+
 # ---- subscribers ------------------------------------------------------------------------------------------
 
 _STATE = "industries array<string>, roles array<string>, status string, reset_at timestamp, created_at timestamp, updated_at timestamp"
