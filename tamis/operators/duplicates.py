@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..session import materialize
-from .exact import first_per_key
 from .graph import complete_linkage
 
 
@@ -277,7 +276,9 @@ def duplicate_members(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
     The long form of the duplicate groups: one row per posting, so that a group may be of any size.
     """
-    unique = first_per_key(df, "url", "ingest_seq")
+    # the first row per url is picked on two narrow columns; wide rows move once, by their unique number
+    firsts = df.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq")).select("ingest_seq")
+    unique = df.join(firsts, "ingest_seq", "left_semi")
     features, shared = posting_features(unique, t)
     groups = complete_linkage(duplicate_edges(features, shared, t))
     grouped = features.join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,10 @@ def fold_raw(raw: DataFrame | None, rows: DataFrame) -> DataFrame:
     First sight and source stay, last sight, title, company and payload follow the latest row. Folding
     the same rows again changes nothing, so a replayed batch is harmless.
     """
-    both = rows if raw is None else raw.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(rows)
+    return _fold_raw(rows if raw is None else raw.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(rows))
+
+
+def _fold_raw(both: DataFrame) -> DataFrame:
     latest = F.max_by(F.struct("title", "company", "payload"), F.struct("last_seen_at", "seq"))
     return (
         both.groupBy("url")
@@ -82,15 +87,19 @@ def encode_targets(df: DataFrame, run_id: int | None) -> DataFrame:
 
 def fold_targets(archive: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Archive and a new batch as one row per url: new content wins, a backfill keeps the old run id."""
-    content = [c for c in batch.columns if c not in ("url", "last_run_id")]
-    both = batch.withColumn("_age", F.lit(1))
+    both = batch.withColumn("seq", F.lit(1))
     if archive is not None:
-        both = archive.withColumn("_age", F.lit(0)).unionByName(both)
+        both = archive.withColumn("seq", F.lit(0)).unionByName(both)
+    return _fold_targets(both)
+
+
+def _fold_targets(both: DataFrame) -> DataFrame:
+    content = [c for c in both.columns if c not in ("url", "last_run_id", "seq")]
     return (
         both.groupBy("url")
         .agg(
-            F.max_by(F.struct(*content), "_age").alias("_c"),
-            F.max_by("last_run_id", F.when(F.col("last_run_id").isNotNull(), F.col("_age"))).alias("last_run_id"),
+            F.max_by(F.struct(*content), "seq").alias("_c"),
+            F.max_by("last_run_id", F.when(F.col("last_run_id").isNotNull(), F.col("seq"))).alias("last_run_id"),
         )
         .select("url", "_c.*", "last_run_id")
     )
@@ -126,6 +135,35 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | str
     return None if version is None else spark.read.parquet(version_path(root, table, version))
 
 
+# A layer is one full version now and then and, between those, only what each run brought, so a run costs
+# what its batch costs and not what the archive has grown to. Readers fold the last full version with the
+# batches after it.
+FULL_EVERY = 42  # a week of runs four hours apart
+_FOLDS = {"raw": _fold_raw, "targets": _fold_targets}
+
+
+def _parts(spark: SparkSession, root: str, table: str, good: list[int], full_every: int) -> DataFrame | None:
+    full = max((v for v in good if v % full_every == 0), default=None)
+    recent = sorted(v for v in good if full is None or v >= full)
+    parts = [spark.read.parquet(version_path(root, table, v)).withColumn("seq", F.lit(v).cast("bigint")) for v in recent]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def read_layer(spark: SparkSession, root: str, table: str, good: list[int], full_every: int = FULL_EVERY) -> DataFrame | None:
+    """State of ``raw`` or ``targets`` after the given successful runs; None when there were none."""
+    parts = _parts(spark, root, table, good, full_every)
+    return None if parts is None else _FOLDS[table](parts)
+
+
+def write_layer(rows: DataFrame, root: str, table: str, run_id: int, good: list[int], full_every: int = FULL_EVERY) -> None:
+    """Add the rows of a run (one per url). Every ``full_every``-th run writes the whole state instead."""
+    if run_id % full_every == 0:
+        old = _parts(rows.sparkSession, root, table, [v for v in good if v < run_id], full_every)
+        new = rows.withColumn("seq", F.lit(run_id).cast("bigint"))
+        rows = _FOLDS[table](new if old is None else old.unionByName(new))
+    write_version(rows, root, table, run_id, replay=True)
+
+
 def log_run(spark: SparkSession, root: str, row: tuple) -> None:
     spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
 
@@ -144,6 +182,13 @@ def last_ok_run(runs: DataFrame) -> int | None:
     return runs.filter("status = 'ok'").agg(F.max("run_id")).first()[0]
 
 
+def good_runs(runs: DataFrame, full_every: int = FULL_EVERY) -> list[int]:
+    """Successful runs since the last one that wrote full layers: at most a few times ``full_every``."""
+    ok = runs.filter("status = 'ok'").select("run_id")
+    full = ok.filter(F.col("run_id") % full_every == 0).agg(F.max("run_id")).first()[0]
+    return sorted(r.run_id for r in (ok if full is None else ok.filter(F.col("run_id") >= full)).distinct().collect())
+
+
 def freeze(snapshot: DataFrame, path: str) -> None:
     """Store a snapshot that labels refer to; an existing one is never overwritten."""
     snapshot.write.mode("errorifexists").parquet(path)

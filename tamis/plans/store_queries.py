@@ -263,7 +263,7 @@ def stream_raw_fold(spark, sf):
     query = jobs.fold_raw_stream(_sightings(_event_stream(spark, sf)), root, f"{root}/checkpoint", "seen_at", "ingest_seq")
     query.awaitTermination()
     last = max(p["batchId"] for p in query.recentProgress) if query.recentProgress else 0
-    return _show_raw(store.read_version(spark, root, "raw", last))
+    return _show_raw(jobs.read_raw(spark, root, last))
 
 
 @register("stream_first_seen", ORACLES["first_seen"])

@@ -39,20 +39,23 @@ def every_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], check
 
 
 def fold_raw_stream(stream: DataFrame, root: str, checkpoint: str, seen_at: str, order: str) -> StreamingQuery:
-    """Keep the raw layer: batch ``n`` reads version ``n - 1`` and writes version ``n``.
+    """Keep the raw layer: each batch adds its rows, folded to one per url (see :func:`store.write_layer`).
 
     A replayed batch writes the same version again.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = store.read_version(spark, root, "raw", batch_id - 1) if batch_id > 0 else None
         rows = store.raw_rows(batch, F.col(seen_at), order, skip=(seen_at,))
-        store.write_version(store.fold_raw(old, rows), root, "raw", batch_id, replay=True)
+        store.write_layer(store.fold_raw(None, rows), root, "raw", batch_id + 1, list(range(1, batch_id + 1)))
 
     return every_batch(stream, work, checkpoint)
 
 
+def read_raw(spark: SparkSession, root: str, last_batch: int) -> DataFrame | None:
+    """The raw layer after a batch of :func:`fold_raw_stream`."""
+    return store.read_layer(spark, root, "raw", list(range(1, last_batch + 2)))
+
+
 def first_seen_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Earliest sight of every ``id``; each batch appends the ids whose date changed (see :func:`read_first_seen`)."""
     seen = stream.groupBy("id").agg(F.min("first_seen_at").alias("first_seen_at"))

@@ -140,6 +140,27 @@ def test_snapshot_and_archive(spark):
     assert archive.select(sorted(archive.columns)).schema.simpleString() == spark.createDataFrame([], TARGET).select(sorted(archive.columns)).schema.simpleString()
 
 
+@pytest.mark.parametrize("full_every", [1, 2, 3, 100])
+def test_layers_equal_one_fold(spark, tmp_path, full_every):
+    root, schema = str(tmp_path / "s"), "url string, source string, title string, company string, ingest_seq long"
+    want = want_t = None
+    good = []
+    for run in range(1, 6):
+        rows = spark.createDataFrame([(f"u{k}", f"s{run}", f"t{run}", None, k) for k in range(run, run + 3)], schema)
+        raw = store.raw_rows(rows, lit_ts(f"2026-10-0{run}"))
+        want = store.fold_raw(want, raw)
+        targets = _targets(spark, [f"u{run}", f"u{run + 1}"], None if run == 4 else run)
+        want_t = store.fold_targets(want_t, targets)
+        if run == 3:  # this run failed after writing
+            store.write_layer(store.fold_raw(None, store.raw_rows(rows.withColumn("title", F.lit("bad")), lit_ts("2026-11-01"))), root, "raw", 30, good, full_every)
+        store.write_layer(store.fold_raw(None, raw), root, "raw", run, good, full_every)
+        store.write_layer(targets, root, "targets", run, good, full_every)
+        good.append(run)
+    assert sorted(store.read_layer(spark, root, "raw", good, full_every).collect()) == sorted(want.collect())
+    got_t = store.read_layer(spark, root, "targets", good, full_every).select("url", "last_run_id").collect()
+    assert sorted(got_t) == sorted(want_t.select("url", "last_run_id").collect())
+
+
 def _landed(spark, rows):
     schema = "url string, source string, title string, company string, description string, salary_min double, salary_max double, skills array<string>, currency string, published_at timestamp_ntz, ingest_seq long"
     return spark.createDataFrame([(u, "fake", t, "Банк", d, 1000.0, None, ["sql"], "USD", ts("2026-10-01"), i) for i, (u, t, d) in enumerate(rows)], schema)
@@ -159,8 +180,8 @@ def test_run_publishes_snapshot_and_failed_run_does_not(spark, tmp_path):
     assert log == {1: ("ok", 2, 2, 1), 2: ("failed", None, None, None)}
     batch.run_batch(spark, {"fake": lambda: landed.filter("url = 'none'").unionByName(_landed(spark, [("https://x/3", "ml engineer", "сбер")]))}, root, 3, now, RULES, rates)
     assert [r.url for r in batch.snapshot(spark, root).collect()] == ["https://x/3"]
-    assert {r.url for r in store.read_version(spark, root, "targets", 3).collect()} == {"https://x/1", "https://x/3"}
-    assert {r.url for r in store.read_version(spark, root, "raw", 3).collect()} == {"https://x/1", "https://x/2", "https://x/3"}
+    assert {r.url for r in batch.archive(spark, root).collect()} == {"https://x/1", "https://x/3"}
+    assert {r.url for r in batch.archive(spark, root, "raw").collect()} == {"https://x/1", "https://x/2", "https://x/3"}
 
 
 def test_recurring_runs(spark, tmp_path):
