@@ -12,8 +12,11 @@ from .base import SPACE, col, contains_any, let, text_array, whole_words
 _EMPTY = "array<string>"
 
 
-def find_keywords(text: Column | str, keywords: Sequence[str]) -> Column:
-    """Keywords that occur anywhere in the text (substring, any case), in rule order."""
+def find_keywords(text: Column | str, keywords: Sequence[str], lowered_text: bool = False) -> Column:
+    """Keywords that occur anywhere in the text (substring, any case), in rule order.
+
+    ``lowered_text`` says that the text is in lower case already, which spares a pass over it.
+    """
     lowered = {k: k.lower() for k in keywords}
     if not lowered:
         return F.array().cast(_EMPTY)
@@ -23,7 +26,7 @@ def find_keywords(text: Column | str, keywords: Sequence[str]) -> Column:
             return F.filter(text_array(lowered), lambda k: F.contains(t, k))
         return F.filter(text_array(lowered), lambda k: F.contains(t, F.lower(k)))
 
-    return F.coalesce(let(F.lower(col(text)), scan), F.array().cast(_EMPTY))
+    return F.coalesce(let(col(text) if lowered_text else F.lower(col(text)), scan), F.array().cast(_EMPTY))
 
 
 def tight(text: Column | str) -> Column:
@@ -80,7 +83,9 @@ def guess_level(
     return F.when(F.size(levels) > 0, levels)
 
 
-def industry_text(company: Column, title: Column, text: Column, excludes: Sequence[str]) -> Column:
+def industry_text(
+    company: Column, title: Column, text: Column, excludes: Sequence[str], lowered_text: bool = False
+) -> Column:
     """Text to search for one industry.
 
     A phrase of ``excludes`` in company or title rules the whole posting out; in the body it is only
@@ -89,7 +94,7 @@ def industry_text(company: Column, title: Column, text: Column, excludes: Sequen
     if not excludes:
         return text
     head = F.lower(F.concat_ws(" ", company, title))
-    body = F.lower(text)
+    body = text if lowered_text else F.lower(text)
     for phrase in excludes:
         body = F.replace(body, F.lit(phrase), F.lit(" "))
     return F.when(contains_any(head, excludes), F.lit("")).otherwise(body)

@@ -45,7 +45,9 @@ def classify(df: DataFrame, rules: RuleSet, wide: bool = False) -> DataFrame:
     # one lower-cased copy of the text feeds every industry
     out = df.withColumn("_text", F.lower(text))
     hits = {
-        key: find_keywords(industry_text(company, title, F.col("_text"), rules.industry_excludes.get(key, [])), words)
+        key: find_keywords(
+            industry_text(company, title, F.col("_text"), rules.industry_excludes.get(key, []), lowered_text=True), words, lowered_text=True
+        )
         for key, words in rules.industries.items()
     }
     keys = [F.lit(k) for k in hits]

@@ -33,13 +33,16 @@ def shingle_frequency(texts: DataFrame) -> DataFrame:
 def shared_shingles(texts: DataFrame, max_df: int = 5) -> tuple[DataFrame, DataFrame]:
     """Kept shingles per row and shared shingles per pair of rows with related companies.
 
-    ``texts`` holds ``id, company, shingles``. Shingles found in more than ``max_df`` rows are dropped
-    as boilerplate. Returns ``(id, n_kept)`` and ``(a, b, shared)``, ``a < b``. Shingles that occur once
-    never leave the counting step, and a kept shingle lives in at most ``max_df`` rows, so the pair
-    list grows linearly with the text.
+    ``texts`` holds ``id, company, shingles, text_key``. Shingles found in more than ``max_df`` rows are
+    dropped as boilerplate. Returns ``(id, n_kept)``, without rows that keep none because their whole text
+    is that common, and ``(a, b, shared)``, ``a < b``. Shingles that occur once never leave the counting
+    step, copies beyond ``max_df`` are counted but not shuffled, and a kept shingle lives in at most
+    ``max_df`` rows, so the pair list grows linearly with the text.
     """
-    occurrences = texts.select("id", "company", F.explode("shingles").alias("shingle"))
+    mass = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > max_df).select("text_key")
     repeated = shingle_frequency(texts).filter("n > 1")
+    texts = texts.join(mass, "text_key", "left_anti")
+    occurrences = texts.select("id", "company", F.explode("shingles").alias("shingle"))
     tagged = materialize(occurrences.join(repeated, "shingle"), "shingles")
     dropped = tagged.filter(F.col("n") > max_df).groupBy("id").agg(F.count(F.lit(1)).alias("dropped"))
     kept = texts.select("id", F.size("shingles").alias("size")).join(dropped, "id", "left").select(
@@ -93,14 +96,16 @@ def posting_features(df: DataFrame, t: Thresholds) -> tuple[DataFrame, DataFrame
             K.title_words("title").alias("words"),
             K.title_head("title").alias("head"),
             K.shingles("description").alias("shingles"),
+            F.md5(F.lower(F.coalesce("description", F.lit("")))).alias("text_key"),
         ),
         "base",
     )
-    kept, shared = shared_shingles(base.select("id", "company", "shingles"), t.max_shingle_df)
+    kept, shared = shared_shingles(base.select("id", "company", "shingles", "text_key"), t.max_shingle_df)
     lead = base.groupBy("company").agg(F.min(F.struct("neg", "id")).alias("lead"))
     narrow = materialize(
-        base.drop("shingles")
-        .join(kept, "id")
+        base.drop("shingles", "text_key")
+        .join(kept, "id", "left")
+        .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
         .join(lead, "company")
         .withColumn("has_text", F.col("n_kept") >= t.min_shingles)
         .withColumns({"lead_neg": F.col("lead.neg"), "lead_id": F.col("lead.id")})
