@@ -66,7 +66,7 @@ def shingles(text: Column | str, size: int = 3) -> Column:
     def runs(w: Column) -> Column:
         heads = F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0)))
         return F.array_distinct(
-            F.transform(heads, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, size)]))
+            F.transform(heads, lambda x, i: F.concat(x, *[p for k in range(1, size) for p in (F.lit(" "), F.get(w, i + k))]))
         )
 
     return F.coalesce(let(words, runs), F.array().cast("array<string>"))

@@ -13,23 +13,22 @@ SCHEMA = (
     "url string, source string, company string, title string, description string, salary_min double, "
     "salary_max double, skills array<string>, ingest_seq long"
 )
-SCORING = (
-    "разработка и поддержка моделей кредитного риска юридических лиц pd выручка и лимиты создание признаков "
-    "и вывод их через feature store и онлайн каскады эксперименты с рекуррентными сетями на платежных данных "
-    "поведенческая аналитика и сегментация"
+# four texts on different subjects, each long enough to be told apart by its word runs
+HARBOR = (
+    "на причале с рассвета грузят ящики с рыбой кран скрипит над баржей чайки кричат а старый лоцман записывает "
+    "в тетрадь глубину фарватера и ждёт пока туман отойдёт от маяка чтобы вывести караван в открытое море"
 )
-RECSYS = (
-    "написание сервисов для команды рекомендательных систем разработка систем мониторинга качества "
-    "рекомендательных систем настройка мониторинга и алертинга качества данных написание юнит тестов на pytest "
-    "и тестов для частей ml пайплайна участие в код ревью"
+GARDEN = (
+    "весной садовник обрезает яблони белит стволы рыхлит землю у смородины ставит парник под огурцы и учит внука "
+    "прививать груши сорта лесная красавица на дикий подвой потому что такие деревья живут дольше прочих"
 )
-NLP = (
-    "обучение языковых моделей для чат бота поддержки клиентов разметка диалогов оценка качества ответов "
-    "дообучение llm на внутренних данных и сбор датасетов для классификации"
+TRAIN = (
+    "ночной поезд идёт через степь проводница разносит чай в подстаканниках пассажиры играют в шахматы за окном "
+    "мелькают станции с резными крышами и никто не знает во сколько состав придёт на узловую"
 )
-CV = (
-    "детекция объектов на фотографиях документов распознавание текста ocr сегментация сканов обучение "
-    "сверточных сетей и подготовка разметки для моделей компьютерного зрения"
+WINTER = (
+    "зимой река встаёт дети катаются на санках с крутого берега рыбаки сверлят лунки бригада чистит дорогу "
+    "до переправы и каждый вечер в клубе показывают старое кино про полярников и капитанов"
 )
 
 
@@ -45,71 +44,57 @@ def dedupe(spark, rows):
     return {r.url: r.duplicate_urls for r in D.deduplicate(df).select("url", "duplicate_urls").collect()}
 
 
-def test_keeps_most_complete_version(spark):
+def test_exact_copies_and_unknown_employers(spark):
     rows = [
-        dict(url="a", description="коротко"),
-        dict(url="b", description="подробное описание", salary_min=200_000.0),
-        dict(url="a", description="коротко"),
-        dict(url="c", company="other"),
-        dict(url="d", company=None),
-        dict(url="e", company=None),
+        dict(url="short", description="мало"),
+        dict(url="long", description="гораздо больше слов", salary_min=90_000.0),
+        dict(url="short", description="мало"),
+        dict(url="elsewhere", company="initech"),
+        dict(url="hidden1", company=None),
+        dict(url="hidden2", company=None),
     ]
-    assert sorted(dedupe(spark, rows)) == ["b", "c", "d", "e"]
+    assert dedupe(spark, rows) == {"long": ["short"], "elsewhere": [], "hidden1": [], "hidden2": []}
 
 
-def test_related_companies_across_boards(spark):
+def test_related_companies_and_rewritten_texts_across_boards(spark):
     rows = [
-        dict(url="a", source="getmatch", company="сбер", title="data analyst", description="подробно"),
-        dict(url="b", source="hirify", company="пао сбербанк", title="data analyst"),
-        dict(url="c", company=None, title="data analyst"),
-        dict(url="d", company="ozon", title="data analyst"),
+        # one company key continues the other
+        dict(url="p1", source="g", company="рога", title="data analyst", description="подробнее"),
+        dict(url="p2", source="h", company="ооо рога и копыта", title="data analyst"),
+        dict(url="p3", company=None, title="data analyst"),
+        dict(url="p4", company="копыта", title="data analyst"),
+        # a detail added to the title, no text to compare
+        dict(url="q1", source="g", company="лютик банк", description="подробнее"),
+        dict(url="q2", source="h", company="лютик-банк", title="data scientist (ai)"),
+        # same title, text told in other words
+        dict(url="r1", source="g", company="василёк", title="python разработчик (middle)", description=TRAIN),
+        dict(url="r2", source="h", company="василек", title="python разработчик (middle)", description=WINTER),
     ]
-    assert dedupe(spark, rows) == {"a": ["b"], "c": [], "d": []}
+    got = dedupe(spark, rows)
+    assert got == {"p1": ["p2"], "p3": [], "p4": [], "q1": ["q2"], "r1": ["r2"]}
 
 
-def test_rewritten_text_across_boards(spark):
+def test_one_board_needs_shared_text(spark):
     rows = [
-        dict(url="g1", source="getmatch", company="альфа банк", description="подробно"),
-        dict(url="h1", source="hirify", company="альфа-банк", title="data scientist (ai)"),
-        dict(url="g2", source="getmatch", company="мегафон", title="python разработчик (middle)", description=NLP),
-        dict(url="h2", source="hirify", company="мегафон", title="python разработчик (middle)", description=CV),
-    ]
-    assert dedupe(spark, rows) == {"g1": ["h1"], "g2": ["h2"]}
-
-
-def test_same_board_needs_shared_text(spark):
-    rows = [
-        dict(url=f"otp{i}", source="getmatch", company="отп банк", title="middle support engineer", description=t)
-        for i, t in enumerate([NLP, SCORING, RECSYS])
-    ] + [
-        dict(url=u, source="hirify", company="centicore", title="senior python developer (llm)", description=f"{CV} {NLP}")
-        for u in "ab"
-    ]
-    assert sorted(dedupe(spark, rows)) == ["a", "otp0", "otp1", "otp2"]
+        dict(url=f"team{i}", source="g", company="ромашка", title="middle support engineer", description=t)
+        for i, t in enumerate([TRAIN, HARBOR, GARDEN])
+    ] + [dict(url=u, source="h", company="незабудка", title="senior go developer", description=f"{WINTER} {TRAIN}") for u in "ab"]
+    assert dedupe(spark, rows) == {"team0": [], "team1": [], "team2": [], "a": ["b"]}
 
 
-def test_bare_title_joins_most_similar(spark):
+def test_bare_title_joins_the_version_with_its_text(spark):
     rows = [
-        dict(url="scoring", source="hirify", company="альфа-банк", salary_min=300_000.0,
-             title="senior data scientist (кредитный скоринг)"),
-        dict(url="ds", source="datasecrets", company="альфа-банк", description=RECSYS),
-        dict(url="ai", source="hirify", company="альфа-банк", title="data scientist (ai)",
-             description=" ".join(RECSYS.split()[:30])),
+        dict(url="risk", source="h", company="лютик", salary_min=1.0, title="senior data scientist (риски)"),
+        dict(url="bare", source="d", company="лютик", description=GARDEN),
+        dict(url="ai", source="h", company="лютик", title="data scientist (ai)", description=" ".join(GARDEN.split()[:28])),
+        # one posting whose slug changed, and one text under two titles
+        dict(url="https://b.example/vacancies/77-old-name", source="g", company="ромашка", title="руководитель склада", description="подробно"),
+        dict(url="https://b.example/vacancies/77", source="g", company="ромашка", title="начальник отдела"),
+        dict(url="s1", source="k", company="клевер", title="менеджер по продажам", description=f"{HARBOR} {WINTER}"),
+        dict(url="s2", source="h", company="клевер", title="sales-менеджер", description=HARBOR),
     ]
-    assert dedupe(spark, rows) == {"scoring": [], "ds": ["ai"]}
-
-
-def test_same_id_and_shared_text(spark):
-    rows = [
-        dict(url="https://getmatch.ru/vacancies/36670-1s-zup-ooo", source="getmatch", company="рсхб-интех",
-             title='руководитель 1с зуп (ооо "рсхб-интех")', description="подробно"),
-        dict(url="https://getmatch.ru/vacancies/36670-1s-zup", source="getmatch", company="рсхб-интех",
-             title="руководитель 1с зуп"),
-        dict(url="geekjob", source="geekjob", company="soft media group",
-             title="менеджер по продажам в it-компанию", description=f"{RECSYS} {NLP}"),
-        dict(url="hirify", source="hirify", company="soft media group", title="sales-менеджер (it/cms)", description=RECSYS),
-    ]
-    assert len(dedupe(spark, rows)) == 2
+    got = dedupe(spark, rows)
+    assert got == {"risk": [], "bare": ["ai"], "https://b.example/vacancies/77-old-name": ["https://b.example/vacancies/77"], "s1": ["s2"]}
 
 
 def random_rows(seed, n=90, hot=False):
@@ -148,6 +133,20 @@ def test_groups_equal_brute_force(spark, seed, hot, small, monkeypatch):
     assert got == want
 
 
+def test_mass_copies_are_one_group(spark):
+    rows = [dict(url=f"c{i}", source=f"s{i % 3}", company="клевер", title="курьер", description=HARBOR) for i in range(40)]
+    rows += [dict(url=None, company="клевер", title="повар")] * 5
+    df, _ = table(spark, rows)
+    got = {r.url: r.kept_url for r in D.duplicate_members(df).collect()}
+    assert got == {**{f"c{i}": "c0" for i in range(40)}, None: None}
+
+
+def test_scratch_tables_go_to_the_named_folder(spark):
+    from tamis.session import scratch_path
+
+    assert scratch_path(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(
         spark.createDataFrame([(100, 101)], "a long, b long")
