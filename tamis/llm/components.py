@@ -1,0 +1,28 @@
+"""Connected components by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of a link.
+
+    Each round takes the smallest label among the neighbours and then the label of that label, so the number of rounds
+    grows with the logarithm of a component's diameter. Each round is written, and only a count reaches the driver.
+    """
+    ends = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
+    both = materialize(ends.union(ends.select("other", "node")).distinct(), "component-links")
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "component-labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("m"))
+        step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m"))
+        jump = labels.select(F.col("node").alias("m"), F.col("label").alias("j"))
+        new = step.join(jump, "m", "left").select("node", F.least("m", "j").alias("label"), (F.least("m", "j") < F.col("label")).alias("moved"))
+        new = materialize(new, "component-labels")
+        labels = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            return labels
