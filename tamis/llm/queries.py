@@ -12,9 +12,10 @@ from .licences import catalogue, licence_scan
 from .mixing import mix
 from .neighbours import search
 from .packing import pack
+from .pages import main_text
 from .quality import quality
-from .credentials import report
 from .suffixes import without_repeats
+from .credentials import report
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +56,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_quality_rules, op4_learned_partitions, op5_best_fit_packing, op6_license_scan, op7_suffix_dedup, op8_secret_scan, op9_language_id)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_quality_rules, op4_learned_partitions, op5_best_fit_packing, op6_license_scan, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
