@@ -35,7 +35,7 @@ INLINE = frozenset(
 
 PATH_SLOTS, WORD_SLOTS = 512, 512
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 24, 6, 5, 20
-TRAIN_PAGES, EPOCHS = 1200, 8
+TRAIN_PAGES, EPOCHS = 800, 8
 CACHED = 100_000
 
 
@@ -334,6 +334,8 @@ class Writer:
         # new words each time, so that none of them tells anything
         parts = self.rng.choice(self.syllables, (self.rng.integers(low, high), 3))
         words = ["".join(p[: k + 1]) for p, k in zip(parts.tolist(), self.rng.integers(0, 3, len(parts)).tolist(), strict=True)]
+        if self.chance(0.3):
+            words[self.rng.integers(len(words))] = self.one(*NOTICE_WORDS)
         return " ".join(words).capitalize() + self.one(".", ".", "", "!", " &amp; " + words[0] + ".")
 
     def phrase(self, low: int = 1, high: int = 12) -> str:
@@ -342,7 +344,6 @@ class Writer:
         return self.prose(low, high + 14)
 
     def own(self, tag: str, text: str) -> str:
-        text = f"{text} x{len(self.main)}"
         self.main.add(" ".join(html.unescape(re.sub("<[^>]*>", "", text)).split()))
         return f"<{tag}>{text}" + self.one(f"</{tag}>", f"</{tag}>", f"</{tag}>", "<br>" if tag == "p" else f"</{tag}>")
 
@@ -384,7 +385,7 @@ class Writer:
         for _ in range(self.rng.integers(1, 14)):
             kind = self.rng.random()
             if kind < 0.72:
-                lead = self.one("", "", "", "<b>", "<em>", "<b>Word</b> ", '<a href="/w">word</a> ')
+                lead = self.one("", "", "", "<b>", "<em>", f"<b>{self.prose(1, 3)}</b> ", f'<a href="/w">{self.prose(1, 4)}</a> ')
                 out.append(self.own("p", lead + self.prose(1, 90)))
             elif kind < 0.80:
                 out.append(self.own(self.one("h2", "h3", "blockquote", "pre"), self.prose(2, 20)))
