@@ -39,7 +39,8 @@ PERCENT = 80
 BUCKET_TOKENS = 4_000_000
 HOT_SHARE = 1 / 256
 HOT_LEVEL = 255
-RANGES = 16
+RANGE_BITS = 6
+RANGES = 1 << RANGE_BITS
 CACHED_WORDS = 200_000
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -177,8 +178,11 @@ def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return distinct, np.concatenate(sizes)[first], np.repeat(back, np.concatenate(counts)), np.concatenate(tokens)
 
 
-def shared_shingles(packed: DataFrame) -> DataFrame:
-    """(cls, n, tokens, levels): per bucket and class the shingles that other classes hold too, with frequency levels."""
+def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
+    """(group, payload, levels): the shingles that several classes hold, with their frequency levels.
+
+    Classes are dealt to ``groups`` by their digest; a bucket gives one row per group.
+    """
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
         names, sizes, owner, token = unpacked(group["payload"])
@@ -195,41 +199,44 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
             level = np.repeat(np.minimum(8 * np.log2(df), HOT_LEVEL - 1).astype(np.uint8), df)
             many = np.repeat(df > 1, df)
             owner, token, level = owner[many], token[many], level[many]
-        order = np.argsort(owner, kind="stable")
+        to = (np.frombuffer(names.tobytes(), np.uint64)[::2] % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((owner, to[owner]))
         owner, token, level = owner[order], token[order], level[order]
-        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        heads = owner[np.append(0, cuts)] if len(owner) else np.empty(0, np.int64)
-        parts = (np.split(token, cuts), np.split(level, cuts)) if len(owner) else ((), ())
-        columns = [
-            pa.array([names[i].tobytes() for i in heads], pa.binary()),
-            pa.array(sizes[heads].astype(np.int64)),
-            pa.array([x.tobytes() for x in parts[0]], pa.binary()),
-            pa.array([x.tobytes() for x in parts[1]], pa.binary()),
-        ]
-        return pa.Table.from_arrays(columns, ["cls", "n", "tokens", "levels"])
+        rows = []
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(to[owner])) + 1) if len(owner) else ():
+            held, many = np.unique(owner[part], return_counts=True)
+            parts = np.split(token[part], np.cumsum(many)[:-1])
+            rows.append((int(to[held[0]]), payload([names[i].tobytes() for i in held], sizes[held].tolist(), parts), level[part].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["group", "payload", "levels"])
 
-    return packed.groupBy("bucket").applyInArrow(counted, "cls binary, n long, tokens binary, levels binary")
+    return packed.groupBy("bucket").applyInArrow(counted, "group int, payload binary, levels binary")
 
 
 def features(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cls, n, tokens rare first, sig): classes that share enough shingles to link at all."""
-    whole = parts.groupBy("cls").agg(F.max("n").alias("n"), F.sum(F.octet_length("levels")).alias("m"), F.collect_list(F.struct("tokens", "levels")).alias("parts"))
-    able = whole.where(F.col("m") * 100 >= F.col("n") * percent)
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, sigs = [], []
-            for row in b["parts"]:
-                row = row.as_py()
-                token = np.frombuffer(b"".join(x["tokens"] for x in row), np.uint64)
-                level = np.frombuffer(b"".join(x["levels"] for x in row), np.uint8)
-                token = token[np.lexsort((token, level))]
-                tokens.append(token.view(np.int64))
-                sigs.append(np.bincount((token >> np.uint64(60)).astype(np.int64), minlength=RANGES))
-            columns = [b["cls"], b["n"], pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "tokens", "sig"])
+    def ordered(key: tuple, group: pa.Table) -> pa.Table:
+        names, sizes, owner, token = unpacked(group["payload"])
+        level = np.frombuffer(b"".join(x.as_py() for x in group["levels"]), np.uint8)
+        able = 100 * np.bincount(owner, minlength=len(names)) >= percent * sizes
+        keep = able[owner]
+        owner, token, level = owner[keep], token[keep], level[keep]
+        order = np.lexsort((token, level, owner))
+        owner, token = owner[order], token[order]
+        held = np.flatnonzero(able)
+        many = np.bincount(owner, minlength=len(names))[held]
+        row = np.searchsorted(held, owner)
+        sig = np.bincount(row * RANGES + (token >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES * len(held))
+        columns = [
+            pa.array([names[i].tobytes() for i in held], pa.binary()),
+            pa.array(sizes[held].astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(token.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, RANGES * len(held) + 1, RANGES), pa.int32()), pa.array(sig.astype(np.int32))),
+        ]
+        return pa.Table.from_arrays(columns, ["cls", "n", "tokens", "sig"])
 
-    return able.select("cls", "n", "parts").mapInArrow(ordered, "cls binary, n long, tokens array<long>, sig array<long>")
+    return parts.groupBy("group").applyInArrow(ordered, "cls binary, n long, tokens array<long>, sig array<int>")
 
 
 def prefixes(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -245,25 +252,33 @@ def prefixes(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def may_link(x: str, y: str, percent: int = PERCENT) -> str:
     """Length and positional filters for entries ``x`` and ``y`` of one token, the smaller of which must be indexed."""
-    need = f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}"
     smaller = f"({x}.n < {y}.n or ({x}.n = {y}.n and {x}.cls < {y}.cls))"
     return (
         f"{x}.cls <> {y}.cls and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-        f" and if({smaller}, {x}.indexed, {y}.indexed) and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}"
+        f" and if({smaller}, {x}.indexed, {y}.indexed) and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need(f'{x}.n', f'{y}.n', percent)}"
     )
 
 
+def need(n_x: str, n_y: str, percent: int = PERCENT) -> str:
+    """Overlap that sets of these sizes must have."""
+    return f"({percent} * ({n_x} + {n_y}) + {99 + percent}) div {100 + percent}"
+
+
+def bound(sig_x: str, sig_y: str) -> str:
+    """Suffix filter: the overlap is at most the sum over ranges of the hash of the smaller number of shingles."""
+    return f"aggregate(zip_with({sig_x}, {sig_y}, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
+
+
 def pair(x: str, y: str) -> list:
-    return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")]
+    smaller = F.col(f"{x}.cls") < F.col(f"{y}.cls")
+    size = lambda a, b: F.when(smaller, F.col(f"{a}.n")).otherwise(F.col(f"{b}.n"))
+    return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b"), size(x, y).alias("n_a"), size(y, x).alias("n_b")]
 
 
 def links(feats: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
-    side = lambda c, *cols: feats.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
-    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    bound = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    near = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where(bound >= need).select("a", "b", "n_a", "n_b")
-    whole = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    """The pairs (a, b) whose similarity reaches the threshold; ``pairs`` has their sizes too."""
+    side = lambda c: feats.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b")
     overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return whole.withColumn("o", overlap).where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
@@ -271,20 +286,25 @@ def links(feats: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
 def class_components(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of the classes that link with others."""
     entries = materialize(prefixes(feats, percent), "jaccard-entries")
+    sigs = feats.select("cls", "sig")
     hubs = entries.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "indexed"), F.xxhash64("cls")).alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h.*")
     first = entries.alias("x").join(hubs.alias("y"), "token").where(may_link("x", "y", percent)).select(*pair("x", "y")).distinct()
-    first = materialize(first, "jaccard-hub-pairs")
+    side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
+    first = first.join(side("a"), "a").join(side("b"), "b").where(f"{bound('sig_a', 'sig_b')} >= {need('n_a', 'n_b', percent)}")
+    first = materialize(first.select("a", "b", "n_a", "n_b"), "jaccard-hub-pairs")
     linked = materialize(links(feats, first, percent), "jaccard-links")
     label = components(linked)
     # a shingle now pairs only classes of different components
     entries = entries.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     groups = entries.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels"))
-    mixed = materialize(entries.join(groups.where("labels > 1").select("token", "most"), "token"), "jaccard-mixed")
+    mixed = entries.join(groups.where("labels > 1").select("token", "most"), "token")
+    mixed = materialize(mixed.join(sigs, "cls"), "jaccard-mixed")
     few = mixed.where("label <> most")
     once = "x.label <> y.label and (y.label = y.most or x.cls < y.cls)"
-    rest = few.alias("x").join(mixed.alias("y"), "token").where(f"{once} and {may_link('x', 'y', percent)}").select(*pair("x", "y")).distinct()
-    more = links(feats, rest.join(first, ["a", "b"], "left_anti"), percent)
-    return components(linked.union(more))
+    near = f"{bound('x.sig', 'y.sig')} >= {need('x.n', 'y.n', percent)}"
+    rest = few.alias("x").join(mixed.alias("y"), "token").where(f"{once} and {may_link('x', 'y', percent)} and {near}").select(*pair("x", "y")).distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    return components(linked.union(links(feats, rest, percent)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -296,7 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = classes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     hot = hot_shingles(described, total["k"])
     buckets = max(1, -(-(total["n"] or 0) // bucket_tokens))
-    feats = materialize(features(shared_shingles(dealt(rows, buckets, hot)), percent), "jaccard-features")
+    feats = materialize(features(shared_shingles(dealt(rows, buckets, hot), buckets), percent), "jaccard-features")
     label = class_components(feats, percent)
     named = classes.select("cls", "rep").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
