@@ -34,8 +34,9 @@ from .jaccard import payload, unpacked
 LENGTH = 50
 GRAM = 18
 PIECE = 1 << 20
-BUCKET_ANCHORS = 4_000_000
+BUCKET_ANCHORS = 1_000_000
 STRINGS_PER_BUCKET = 60_000
+INDEX_STRINGS = 4_000
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -151,36 +152,43 @@ class RunIndex:
         sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
         text[np.cumsum(sizes) - 1] = 0
         n = len(text)
-        rank, depth = text, 1
+        # seven bytes fit into one number; from there on ranks are joined
+        rank, depth, ahead = np.zeros(n, np.int64), 0, 0
         while depth < length:
-            step = min(depth, length - depth)
-            ahead = np.full(n, 0, np.int64)
-            ahead[: n - step] = rank[step:] + 1
-            key = rank * np.int64(max(n, 257) + 2) + ahead
+            if depth == 0:
+                for k in range(7):
+                    rank *= 257
+                    rank[: n - k] += text[k:]
+                key, depth = rank, 7
+            else:
+                ahead = min(depth, length - depth)
+                key = rank * np.int64(n + 2)
+                key[: n - ahead] += rank[ahead:] + 1
+                depth += ahead
             suffixes = np.argsort(key)
             ordered = key[suffixes]
             group = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
             rank = np.empty(n, np.int64)
             rank[suffixes] = group
-            depth += step
         before = text[suffixes - 1]
         self.start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         self.head = before[self.start]
         runs = len(self.start)
         sizes_of = np.diff(np.append(self.start, n))
-        order = np.argsort(self.head, kind="stable")
+        self.run_of = np.repeat(np.arange(runs, dtype=np.int32), sizes_of)
+        order = np.argsort(self.head.astype(np.int16), kind="stable")
         self.keys = self.head[order] * (runs + 1) + order
         self.runs = runs
         self.sums = np.append(0, np.cumsum(sizes_of[order]))
         self.first = np.append(0, np.cumsum(np.bincount(text, minlength=258)))
         self.base = self.sums[np.searchsorted(self.keys, np.arange(258) * (runs + 1))]
         self.edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        self.group = group
+        self.group = group.astype(np.int32)
         self.least = np.minimum.reduceat(np.repeat(numbers, sizes)[suffixes], self.edges)
 
     def step(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """First place of the suffixes that begin with ``c`` and go on below place ``i``."""
-        run = np.searchsorted(self.start, i, "right") - 1
+        run = self.run_of[i]
         at = np.searchsorted(self.keys, c * (self.runs + 1) + run)
         inside = np.where(self.head[run] == c, i - self.start[run], 0)
         return self.first[c] + self.sums[at] - self.base[c] + inside
@@ -299,10 +307,18 @@ def earliest(s: Strings, length: int) -> np.ndarray:
     out = np.repeat(first, counts)
     _, back, many = np.unique(s.anchors, return_inverse=True, return_counts=True)
     rivals = np.flatnonzero(many[back] > 1)
-    if len(rivals):
-        texts = [s.distinct[i] for i in rivals.tolist()]
-        inside = np.repeat(many[back] > 1, counts)
-        out[inside] = RunIndex(texts, first[rivals], length).windows(texts)
+    rivals = rivals[np.argsort(back[rivals], kind="stable")]
+    begin = np.cumsum(counts) - counts
+    # small indexes are faster than a large one; the strings of an anchor stay together
+    new = np.append(True, back[rivals][1:] != back[rivals][:-1]) if len(rivals) else np.empty(0, bool)
+    starts = np.flatnonzero(new)
+    cuts = starts[np.append(True, np.diff(starts // INDEX_STRINGS) > 0)] if len(rivals) else starts
+    for part in np.split(rivals, cuts[1:]):
+        if len(part):
+            texts = [s.distinct[i] for i in part.tolist()]
+            n = counts[part]
+            place = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[place] = RunIndex(texts, first[part], length).windows(texts)
     return out
 
 
