@@ -21,6 +21,7 @@ one text have one result. Only the id and text columns are read; every input row
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,8 +219,7 @@ class RunIndex:
 
 def packed_strings(items: list[tuple[bytes, int, int, int, bytes]]) -> bytes:
     """(class, its document, first window, anchor, string) in order of classes, packed; equal strings once."""
-    classes = list(dict.fromkeys((x[0], x[1]) for x in items))
-    per_class = np.bincount([{c: i for i, c in enumerate(classes)}[x[0], x[1]] for x in items], minlength=len(classes)) if len(classes) > 1 else np.array([len(items)])
+    classes = Counter((x[0], x[1]) for x in items)
     strings: dict[bytes, tuple[int, int]] = {}
     which = [strings.setdefault(x[4], (len(strings), x[3]))[0] for x in items]
     return b"".join(
@@ -228,7 +228,7 @@ def packed_strings(items: list[tuple[bytes, int, int, int, bytes]]) -> bytes:
             b"".join(c[0] for c in classes),
             np.array([c[1] for c in classes], np.int64).tobytes(),
             np.array([x[1] for x in strings.values()], np.uint64).tobytes(),
-            per_class.astype(np.uint32).tobytes(),
+            np.array(list(classes.values()), np.uint32).tobytes(),
             np.array([[x[2] for x in items], which], np.uint32).tobytes(),
             np.array(list(map(len, strings)), np.uint32).tobytes(),
             *strings,
