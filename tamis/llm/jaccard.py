@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import slices
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 3_000_000
 HOT_SHARE = 1 / 256
 HOT_LEVEL = 255
 RANGE_BITS = 6
@@ -84,7 +85,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for b in batches:
+        for b in slices(batches, 4000):
             sets = [shingles(t.as_py(), ids) for t in b["text"]]
             names = [class_of(h) for h in sets]
             hot = None
@@ -131,7 +132,7 @@ def dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for b in batches:
+        for b in slices(batches, 2000):
             out: dict[int, tuple[list, list, list]] = {}
 
             def add(bucket: int, name: bytes, n: int, h: np.ndarray) -> None:
@@ -175,7 +176,7 @@ def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndar
         counts.append(both[k:])
         tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + 24 * k))
     distinct, first, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-    return distinct, np.concatenate(sizes)[first], np.repeat(back, np.concatenate(counts)), np.concatenate(tokens)
+    return distinct, np.concatenate(sizes)[first], np.repeat(back.astype(np.int32), np.concatenate(counts)), np.concatenate(tokens)
 
 
 def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import slices
 from .jaccard import payload, unpacked
 
 LENGTH = 50
@@ -105,7 +106,7 @@ def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        for b in batches:
+        for b in slices(batches, 1000):
             out: dict[int, tuple[list, list, list]] = {}
             seen = set()
             for x in b["data"]:
@@ -280,7 +281,7 @@ def strings_of(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        for b in batches:
+        for b in slices(batches, 1000):
             out: dict[int, list] = {}
             for name, rep, x, lists in zip(b["cls"], b["rep"], b["data"], b["lists"], strict=True):
                 data, name, rep = x.as_py(), name.as_py(), rep.as_py()
