@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 512
 PIECE = 1 << 20
-CACHED = 40_000
+CACHED = 16_000
 SPACE = 32
 FRINGE = 2
 
@@ -34,7 +34,7 @@ class Encoder:
         self.kind = np.zeros(0x110000, np.int8)  # 0: not seen yet, 1: letter, 2: other
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.empty((1024, dimensions), np.float32)
+        self.table = np.empty((2048, dimensions), np.float32)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
