@@ -264,7 +264,7 @@ def source_counts(spark, sf):
 
 @register(
     "label_sheet",
-    f"""SELECT doc_id::VARCHAR AS url, source, lang AS company, {TITLE_SQL} AS title, left(text, 3000) AS description, NULL::VARCHAR AS ds_role, NULL::VARCHAR AS comment
+    f"""SELECT doc_id::VARCHAR AS url, source, lang AS company, {TITLE_SQL} AS title, text AS description, NULL::VARCHAR AS ds_role, NULL::VARCHAR AS comment
        FROM documents""",
 )
 def label_sheet(spark, sf):

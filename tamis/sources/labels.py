@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.base import SPACE
 from ..functions.keys import split_keys
 from ..operators.checks import require_labels
 from ..schemas import GOLD, PAIR_GOLD
 
-# --- fixed values: columns of the sheets, and how much of a description they show -------------------
+# --- fixed values: columns of the sheets ------------------------------------------------------------
 SHEET_COLUMNS = ["url", "source", "company", "title", "description"]
 LABEL_COLUMNS = ["ds_role", "roles", "industries", "industry_other", "unsure", "comment"]
 PAIR_COLUMNS = [
@@ -18,7 +19,6 @@ PAIR_COLUMNS = [
 ]
 PAIR_LABELS = ["is_dup", "unsure", "comment"]
 GOLD_PAIR_COLUMNS = ["company", "source_a", "title_a", "url_a", "source_b", "title_b", "url_b"]
-SHEET_DESCRIPTION = 3000
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
@@ -46,25 +46,40 @@ def type_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def read_named_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns of ``schema`` by their names in the header, whatever their order; a byte-order mark is dropped.
+
+    Quoted fields may hold line breaks and doubled quotes. Columns that the file lacks are null.
+    """
+    rows = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"')
+    rows = rows.toDF(*(c.lstrip("\ufeff").strip().strip('"') for c in rows.columns))
+    wanted = StructType.fromDDL(schema)
+    have = set(rows.columns)
+    return rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled postings from CSV. Columns go by position, so a byte-order mark does no harm."""
-    rows = spark.read.csv(path, header=True, schema=GOLD, encoding="UTF-8")
+    """Labelled postings from CSV."""
+    rows = read_named_csv(spark, path, GOLD)
     require_labels(rows, "ds_role", "url")
     return type_gold(rows)
 
 
 def read_pair_gold(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, schema=PAIR_GOLD, encoding="UTF-8")
+    rows = read_named_csv(spark, path, PAIR_GOLD)
     require_labels(rows, "is_dup", "url_a")
     return type_pairs(rows)
 
 
-def label_sheet(rows: DataFrame, columns: list[str], labels: list[str], order: Column) -> DataFrame:
-    """Rows for hand labelling: clean text, no predictions, empty label columns, shuffled."""
+def label_sheet(rows: DataFrame, columns: list[str], labels: list[str], order: Column, description_chars: int | None = None) -> DataFrame:
+    """Rows for hand labelling: clean text, no predictions, empty label columns, shuffled.
+
+    Descriptions are whole unless ``description_chars`` says how many characters a sheet takes.
+    """
 
     def clean(name: str) -> Column:
         text = F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), CONTROL_CHARACTERS, "")
-        return F.left(text, F.lit(SHEET_DESCRIPTION)) if name.startswith("description") else text
+        return F.left(text, F.lit(description_chars)) if description_chars and name.startswith("description") else text
 
     empty = [F.lit(None).cast("string").alias(name) for name in labels]
     return rows.orderBy(order).select(*[clean(c).alias(c) for c in columns], *empty)

@@ -3,12 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.functions import keys as K
 from tamis.operators import duplicates as D
 from tamis.operators import graph as G
 
-from . import brute
-
 SCHEMA = (
     "url string, source string, company string, title string, description string, salary_min double, "
     "salary_max double, skills array<string>, ingest_seq long"
@@ -119,18 +116,26 @@ def random_rows(seed, n=90, hot=False):
 
 
 @pytest.mark.parametrize(("seed", "hot", "small"), [(1, False, 20_000), (2, True, 20_000), (3, True, 0), (4, False, 3)])
-def test_groups_equal_brute_force(spark, seed, hot, small, monkeypatch):
-    monkeypatch.setattr(G.complete_linkage, "__defaults__", (small,))
-    df, full = table(spark, random_rows(seed, hot=hot))
-    companies = {r["company"] for r in full}
-    key_of = {
-        r.c: r.k for r in spark.createDataFrame([(c,) for c in companies], "c string").select("c", K.company_key("c").alias("k")).collect()
-    }
-    import re
-
-    want, edges = brute.solve(full, key_of.get, lambda u: re.sub(r"(/vacancies/\d+)-[^/?#]*", r"\1", u))
-    got = {r.url: r.kept_url for r in D.duplicate_members(df.repartition(7, F.rand(seed))).collect()}
-    assert got == want
+def test_groups_have_the_properties_of_complete_linkage(spark, seed, hot, small):
+    df, _ = table(spark, random_rows(seed, hot=hot))
+    firsts = df.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq")).select("ingest_seq")
+    features, shared = D.posting_features(df.join(firsts, "ingest_seq", "left_semi"), D.Thresholds())
+    edges = D.duplicate_edges(features, shared).cache()
+    ranked = edges.orderBy("best").select("a", "b").collect()
+    pairs = {frozenset((r.a, r.b)) for r in ranked}
+    group = {r.node: r.grp for r in G.complete_linkage(edges, small).collect()}
+    members = {}
+    for node in {n for p in pairs for n in p}:
+        members.setdefault(group.get(node, node), set()).add(node)
+    groups = list(members.values())
+    # all of a group are duplicates of each other, and no two groups could still be joined
+    assert all(frozenset((x, y)) in pairs for g in groups for x in g for y in g if x < y)
+    assert not any(all(frozenset((x, y)) in pairs for x in g for y in h) for i, g in enumerate(groups) for h in groups[:i])
+    # the best edge of all is always taken
+    assert not ranked or group[ranked[0].a] == group[ranked[0].b]
+    # neither the order nor the partitions of the edges matter
+    again = {r.node: r.grp for r in G.complete_linkage(edges.repartition(5, F.rand(seed)), small).collect()}
+    assert {frozenset(n for n in group if group[n] == v) for v in group.values()} == {frozenset(n for n in again if again[n] == v) for v in again.values()}
 
 
 def test_mass_copies_are_one_group(spark):

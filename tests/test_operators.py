@@ -387,3 +387,25 @@ def test_first_seen_keeps_vanished_ids(spark):
     new = spark.createDataFrame([("old", ts("2026-01-05")), ("new", ts("2026-01-05"))], schema)
     got = {r.id: r.first_seen_at for r in store.first_seen(known, new).collect()}
     assert got == {"old": ts("2026-01-01"), "new": ts("2026-01-05")}
+
+
+def test_fan_out_keeps_rows_without_keys(spark):
+    from tamis.operators.delivery import fan_out
+
+    postings = spark.createDataFrame(
+        [("u1", {"fintech": ["bank"]}, ["ds"]), ("u2", None, None), ("u3", {}, [])],
+        "url string, industries map<string,array<string>>, matched_roles array<string>",
+    )
+    chats = spark.createDataFrame([(1, "active", None, None), (2, "active", ["fintech"], None)], "chat_id long, status string, industries array<string>, roles array<string>")
+    got = sorted((r.chat_id, r.url) for r in fan_out(postings, chats, ["fintech"]).collect())
+    assert got == [(1, "u1"), (1, "u2"), (1, "u3"), (2, "u1")]
+
+
+def test_gold_csv_is_read_by_name(spark, tmp_path):
+    from tamis.sources.labels import read_gold
+
+    path = tmp_path / "gold.csv"
+    path.write_text('\ufeffds_role,url,comment,roles,industries,unsure\n1,u1,"two\nlines, ""quoted""",a | b,,\n0,u2,,,,1\n', encoding="utf-8")
+    got = {r.url: r for r in read_gold(spark, str(path)).collect()}
+    assert got["u1"].ds_role is True and got["u1"].comment == 'two\nlines, "quoted"'
+    assert got["u2"].ds_role is False and got["u2"].unsure is True
