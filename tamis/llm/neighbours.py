@@ -3,8 +3,9 @@
 A bounded sample of the vectors gives a graph of nearest neighbours, which is cut into parts of equal size: each cut
 halves a part at the median of its slowest-mixing direction (power iteration on the graph), then swaps vertices across
 the cut while that saves edges. A small network learns, from a vector, how its neighbours spread over the parts. It then
-places every vector of the table into its most probable part and routes every query to several parts, in which all
-vectors are ranked by the exact measure.
+places every vector of the table into its most probable part and routes every query to its most probable parts, in which
+all vectors are ranked by the exact measure. How many parts it takes for a recall of ``RECALL`` is measured on
+``PROBE_QUERIES`` further sample vectors.
 
 A part is dealt to several tasks when it holds more than ``CHUNK`` vectors or queries, so that copies of one vector
 never meet in one task. Parts are as many as needed for ``PART_ROWS`` vectors each, up to ``MAX_PARTS``; the sample
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ PART_ROWS = 2048
 MAX_PARTS = 256
 SAMPLE_PER_PART = 128
 GRAPH_K = 16
-PROBES = 8
+RECALL = 0.95
+PROBE_QUERIES = 1024
 CHUNK = 4096
 
 
@@ -135,6 +136,20 @@ def fit(sample: np.ndarray, depth: int) -> Router:
     return router
 
 
+def probes_needed(router: Router, queries: np.ndarray, points: np.ndarray, k: int, recall: float) -> int:
+    """Parts that a query visits so that ``recall`` of its ``k`` nearest are there, on vectors that were not learned from.
+
+    The nearest of a sample lie further off than those of the table, so the table's recall is rather higher.
+    """
+    k = min(k, len(points))
+    order = np.argsort(-router.logits(queries), axis=1, kind="stable")
+    nearest = np.argpartition(-(queries @ points.T), k - 1, axis=1)[:, :k]
+    part = np.argmax(router.logits(points), axis=1)
+    turn = np.argsort(order, axis=1)  # when a query comes to a part
+    visit = np.sort(np.take_along_axis(turn, part[nearest], axis=1).ravel())
+    return int(visit[min(len(visit) - 1, int(np.ceil(recall * len(visit))) - 1)]) + 1
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -169,7 +184,7 @@ def ranked(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, sample_per_part: int = SAMPLE_PER_PART) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None, recall: float = RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, sample_per_part: int = SAMPLE_PER_PART) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for the rows that meet ``queries`` (on column ``id``)."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -183,8 +198,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         depth += 1
     router = None
     if depth:
-        sample = kept.orderBy(F.xxhash64(F.lit(1), "id")).limit(sample_per_part << depth).select("v").toArrow()
-        router = fit(unit(matrix(sample["v"])), depth)
+        sample = kept.orderBy(F.xxhash64(F.lit(1), "id")).limit((sample_per_part << depth) + PROBE_QUERIES).select("v").toArrow()
+        sample = unit(matrix(sample["v"]))
+        router = fit(sample[PROBE_QUERIES:], depth)
+        probes = probes or probes_needed(router, sample[:PROBE_QUERIES], sample[PROBE_QUERIES:], k, recall)
+    probes = probes or 1
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,8 +248,3 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     found = candidates.union(questions).groupBy("part", "chunk", "block").applyInArrow(reranked, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def recall(found: pd.DataFrame, exact: pd.DataFrame) -> float:
-    """Share of the exact (query_id, vec_id) pairs that were found."""
-    return len(found.merge(exact, on=["query_id", "vec_id"])) / max(len(exact), 1)
