@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import release, slices
 from .components import components
 
 WIDTH = 5
 PERCENT = 80
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 1 / 256
 HOT_LEVEL = 255
 RANGE_BITS = 6
@@ -186,6 +186,7 @@ def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
     """
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
+        release()
         names, sizes, owner, token = unpacked(group["payload"])
         order = np.lexsort((owner, token))
         owner, token = owner[order], token[order]
@@ -218,6 +219,7 @@ def features(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cls, n, tokens rare first, sig): classes that share enough shingles to link at all."""
 
     def ordered(key: tuple, group: pa.Table) -> pa.Table:
+        release()
         names, sizes, owner, token = unpacked(group["payload"])
         level = np.frombuffer(b"".join(x.as_py() for x in group["levels"]), np.uint8)
         able = 100 * np.bincount(owner, minlength=len(names)) >= percent * sizes

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 DIMENSIONS = 512
 PIECE = 1 << 20
 CACHED = 16_000
@@ -110,11 +112,12 @@ def prototypes(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     found.append(ids)
                     many.append(n)
                     size += len(ids)
-                    if size > 1 << 20:
+                    if size > 1 << 18:
                         total += encoder.bundle(*added_up(found, many))
                         found, many, size = [], [], 0
                 total += encoder.bundle(*added_up(found, many))
                 yield pd.DataFrame({"lang": [lang], "vector": [np.rint(total).astype(np.int64)]})
+            release()
 
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = rows.dropna().mapInPandas(bundled, "lang string, vector array<long>")
@@ -146,6 +149,7 @@ def predict(text: Column, learned: dict[str, np.ndarray], dimensions: int = DIME
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            release()
 
     return F.pandas_udf(predicted, "lang_pred string, score double")(text.cast("string"))
 
