@@ -72,6 +72,11 @@ def shingles(text: Column | str, size: int = 3) -> Column:
     return F.coalesce(let(words, runs), F.array().cast("array<string>"))
 
 
+def shingle_hashes(text: Column | str, size: int = 3) -> Column:
+    """The same runs as two 64-bit hashes each, for counting and joining without moving text."""
+    return F.transform(shingles(text, size), lambda s: F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g")))
+
+
 def completeness(salary_min: Column, salary_max: Column, description: Column, skills: Column) -> Column:
     """How much a posting tells: salary bounds, thousands of characters, number of skills."""
     return (

@@ -33,7 +33,7 @@ def shingle_frequency(texts: DataFrame) -> DataFrame:
 def shared_shingles(texts: DataFrame, max_df: int = 5) -> tuple[DataFrame, DataFrame]:
     """Kept shingles per row and shared shingles per pair of rows with related companies.
 
-    ``texts`` holds ``id, company, shingles, text_key``. Shingles found in more than ``max_df`` rows are
+    ``texts`` holds ``id, company, shingles, text_key``, the shingles best as hashes. Shingles found in more than ``max_df`` rows are
     dropped as boilerplate. Returns ``(id, n_kept)``, without rows that keep none because their whole text
     is that common, and ``(a, b, shared)``, ``a < b``. Shingles that occur once never leave the counting
     step, copies beyond ``max_df`` are counted but not shuffled, and a kept shingle lives in at most
@@ -95,7 +95,7 @@ def posting_features(df: DataFrame, t: Thresholds) -> tuple[DataFrame, DataFrame
             K.company_key("company").alias("company"),
             K.title_words("title").alias("words"),
             K.title_head("title").alias("head"),
-            K.shingles("description").alias("shingles"),
+            K.shingle_hashes("description").alias("shingles"),
             F.md5(F.lower(F.coalesce("description", F.lit("")))).alias("text_key"),
         ),
         "base",

@@ -29,7 +29,7 @@ def keep_last(spark, sf):
 
 
 def _texts(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("company"), K.shingles("text").alias("shingles"), F.md5(F.lower("text")).alias("text_key"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("company"), K.shingle_hashes("text").alias("shingles"), F.md5(F.lower("text")).alias("text_key"))
 
 
 @register(
