@@ -42,6 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def release() -> None:
     """Give freed memory back to the system: workers live on between stages, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

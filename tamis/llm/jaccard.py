@@ -168,8 +168,8 @@ def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Distinct classes (16 bytes) with their sizes; then the class number and hash of every entry."""
     names, sizes, counts, tokens = [], [], [], []
     for p in payloads:
-        blob = p.as_py()
-        k = int.from_bytes(blob[:8], "little")
+        blob = p.as_buffer()
+        k = int(np.frombuffer(blob, np.int64, 1)[0])
         names.append(np.frombuffer(blob, "V16", k, 8))
         both = np.frombuffer(blob, np.uint32, 2 * k, 8 + 16 * k)
         sizes.append(both[:k])
@@ -179,6 +179,16 @@ def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return distinct, np.concatenate(sizes)[first], np.repeat(back.astype(np.int32), np.concatenate(counts)), np.concatenate(tokens)
 
 
+def met_again(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once; needs less memory than an order of all entries."""
+    ordered = np.sort(values)
+    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(repeated):
+        return np.zeros(len(values), bool)
+    return repeated[np.minimum(np.searchsorted(repeated, values), len(repeated) - 1)] == values
+
+
 def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
     """(group, payload, levels): the shingles that several classes hold, with their frequency levels.
 
@@ -188,6 +198,9 @@ def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
     def counted(key: tuple, group: pa.Table) -> pa.Table:
         release()
         names, sizes, owner, token = unpacked(group["payload"])
+        if key[0].as_py() >= 0:
+            again = met_again(token)
+            owner, token = owner[again], token[again]
         order = np.lexsort((owner, token))
         owner, token = owner[order], token[order]
         if len(token):

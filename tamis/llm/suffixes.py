@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import slices
-from .jaccard import payload, unpacked
+from .jaccard import met_again, payload, unpacked
 
 LENGTH = 50
 GRAM = 18
@@ -125,12 +125,13 @@ def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
         names, _, owner, anchor = unpacked(group["payload"])
+        again = met_again(anchor)
+        owner, anchor = owner[again], anchor[again]
         order = np.lexsort((owner, anchor))
         owner, anchor = owner[order], anchor[order]
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
+        new = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))[: len(owner)]
         owner, anchor = owner[new], anchor[new]
-        same = anchor[1:] == anchor[:-1]
-        many = np.append(False, same) | np.append(same, False)
+        many = met_again(anchor)
         owner, anchor = owner[many], anchor[many]
         order = np.argsort(owner, kind="stable")
         owner, anchor = owner[order], anchor[order]
