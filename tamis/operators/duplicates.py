@@ -64,19 +64,23 @@ def shared_shingles(texts: DataFrame, max_df: int = 5) -> tuple[DataFrame, DataF
     return kept, pairs
 
 
-def company_links(companies: DataFrame) -> DataFrame:
-    """``(company, other)`` for keys where one starts with the other, itself included.
+def company_prefixes(companies: DataFrame) -> DataFrame:
+    """``(company, prefix)``: the keys that a key starts with, itself included.
 
-    Every key is cut into its prefixes and joined on equality; no key is compared with all others.
+    Every key is cut into its prefixes and joined on equality; no key is compared with all others, and a key
+    has at most as many rows as letters.
     """
     names = companies.select("company").filter("company <> ''").distinct()
-    heads = names.select(
-        F.col("company").alias("long"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("company")), lambda n: F.left(F.col("company"), n))).alias("company"),
-    )
-    down = heads.join(names, "company").select("company", F.col("long").alias("other"))
-    up = down.filter("company <> other").select(F.col("other").alias("company"), F.col("company").alias("other"))
-    return down.unionByName(up)
+    cut = F.transform(F.sequence(F.lit(1), F.length("company")), lambda n: F.left(F.col("company"), n))
+    heads = names.select("company", F.explode(cut).alias("prefix"))
+    return heads.join(names.withColumnRenamed("company", "prefix"), "prefix", "left_semi").select("company", "prefix")
+
+
+def company_links(companies: DataFrame) -> DataFrame:
+    """``(company, other)`` for keys where one starts with the other, in both directions, itself included."""
+    up = company_prefixes(companies)
+    down = up.filter("company <> prefix").select(F.col("prefix").alias("company"), F.col("company").alias("prefix"))
+    return up.unionByName(down).withColumnRenamed("prefix", "other")
 
 
 def posting_features(df: DataFrame, t: Thresholds) -> tuple[DataFrame, DataFrame]:
@@ -154,15 +158,24 @@ def _by_word_rarity(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _meet(left: DataFrame, right: DataFrame, links: DataFrame, key: str, keep: Column | None = None) -> DataFrame:
-    """Pairs of rows of linked companies with an equal ``key``, as ``(a, b)`` with ``a < b``."""
-    spread = left.join(links, "company").select(
-        F.col("id").alias("l_id"), F.col("other").alias("company"), key,
-        F.col("source").alias("l_source"), F.col("has_text").alias("l_text"), F.col("words").alias("l_words"),
+def _meet(left: DataFrame, right: DataFrame, prefixes: DataFrame, key: str, keep: Column | None = None) -> DataFrame:
+    """Pairs of rows of related companies with an equal ``key``, as ``(a, b)`` with ``a < b``.
+
+    The row with the longer company is repeated under the prefixes of its company, never the other way round,
+    so a short name met by many others is not multiplied by them.
+    """
+    l_side = left.select(
+        "company", key, F.col("id").alias("l_id"), F.col("source").alias("l_source"),
+        F.col("has_text").alias("l_text"), F.col("words").alias("l_words"),
     )
-    met = spread.join(
-        right.select("id", "company", key, "source", "has_text", F.col("words").alias("r_words")), ["company", key]
-    ).filter("l_id <> id")
+    r_side = right.select("company", key, "id", "source", "has_text", F.col("words").alias("r_words"))
+
+    def under_prefixes(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(links, "company").drop("company").withColumnRenamed("prefix", "company")
+
+    met = under_prefixes(l_side, prefixes).join(r_side, ["company", key])
+    longer = under_prefixes(r_side, prefixes.filter("company <> prefix"))
+    met = met.unionByName(l_side.join(longer, ["company", key])).filter("l_id <> id")
     if keep is not None:
         met = met.filter(keep)
     return met.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
@@ -172,18 +185,18 @@ def _cross_board() -> Column:
     return ~F.col("l_source").eqNullSafe(F.col("source"))
 
 
-def duplicate_candidates(nodes: DataFrame, shared: DataFrame, links: DataFrame) -> DataFrame:
+def duplicate_candidates(nodes: DataFrame, shared: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``(a, b, shared)``: every pair the duplicate rule can accept, and few others.
 
     The rule accepts a pair only for an equal url key, for equal or nested titles where text cannot
     decide, or for shared text; each becomes an equality join.
     """
     by_key = nodes.filter("key_shared")
-    same_key = _meet(by_key, by_key, links, "url_key")
+    same_key = _meet(by_key, by_key, prefixes, "url_key")
 
     titled = nodes.filter(F.size("words") > 0)
     either = _cross_board() | ~(F.col("l_text") & F.col("has_text"))
-    same_words = _meet(titled, titled, links, "title_key", either)
+    same_words = _meet(titled, titled, prefixes, "title_key", either)
 
     # nested titles count across boards when one side has no text: meet on the rarest word of the
     # smaller title, which the larger one must contain
@@ -191,8 +204,8 @@ def duplicate_candidates(nodes: DataFrame, shared: DataFrame, links: DataFrame)
     rarest = titled.join(ranked, "id").withColumn("word", F.get("ranked", F.lit(0)))
     spelled = titled.withColumn("word", F.explode("words"))
     nested = _cross_board() & (F.size(F.array_except("l_words", "r_words")) == 0)
-    bare_small = _meet(rarest.filter("not has_text"), spelled, links, "word", nested)
-    bare_large = _meet(rarest.filter("has_text"), spelled.filter("not has_text"), links, "word", nested)
+    bare_small = _meet(rarest.filter("not has_text"), spelled, prefixes, "word", nested)
+    bare_large = _meet(rarest.filter("has_text"), spelled.filter("not has_text"), prefixes, "word", nested)
 
     blocks = same_key.unionByName(same_words).unionByName(bare_small).unionByName(bare_large)
     return (
@@ -246,9 +259,9 @@ def duplicate_edges(features: DataFrame, shared: DataFrame, t: Thresholds = Thre
     completeness ranks of the two rows, the row of the earlier company first.
     """
     nodes = features.filter("id = node and company <> ''").withColumn("title_key", F.array_join("words", " "))
-    links = company_links(nodes)
+    prefixes = company_prefixes(nodes)
     judged = (
-        attach_pair(duplicate_candidates(nodes, shared, links), nodes.drop("title_key", "node", "key_shared"))
+        attach_pair(duplicate_candidates(nodes, shared, prefixes), nodes.drop("title_key", "node", "key_shared"))
         .withColumn("overlap", overlap(t))
         .filter(K.same_company(F.col("x.company"), F.col("y.company")))
         .filter(is_duplicate(t))
