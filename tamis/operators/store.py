@@ -137,14 +137,19 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | str
 
 # A layer is one full version now and then and, between those, only what each run brought, so a run costs
 # what its batch costs and not what the archive has grown to. Readers fold the last full version with the
-# batches after it.
+# batches after it. Successful runs are counted, so a run that fails leaves the full version to the next one.
 FULL_EVERY = 42  # a week of runs four hours apart
 _FOLDS = {"raw": _fold_raw, "targets": _fold_targets}
 
 
+def _since_full(good: list[int], full_every: int) -> list[int]:
+    """The last full version and the batches after it; ``good`` begins with the first run or with a full version."""
+    ordered = sorted(good)
+    return ordered[(len(ordered) - 1) // full_every * full_every :] if ordered else []
+
+
 def _parts(spark: SparkSession, root: str, table: str, good: list[int], full_every: int) -> DataFrame | None:
-    full = max((v for v in good if v % full_every == 0), default=None)
-    recent = sorted(v for v in good if full is None or v >= full)
+    recent = _since_full(good, full_every)
     parts = [spark.read.parquet(version_path(root, table, v)).withColumn("seq", F.lit(v).cast("bigint")) for v in recent]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -156,9 +161,10 @@ def read_layer(spark: SparkSession, root: str, table: str, good: list[int], full
 
 
 def write_layer(rows: DataFrame, root: str, table: str, run_id: int, good: list[int], full_every: int = FULL_EVERY) -> None:
-    """Add the rows of a run (one per url). Every ``full_every``-th run writes the whole state instead."""
-    if run_id % full_every == 0:
-        old = _parts(rows.sparkSession, root, table, [v for v in good if v < run_id], full_every)
+    """Add the rows of a run (one per url). Every ``full_every``-th successful run writes the whole state instead."""
+    before = [v for v in good if v < run_id]
+    if len(before) % full_every == 0:
+        old = _parts(rows.sparkSession, root, table, before, full_every)
         new = rows.withColumn("seq", F.lit(run_id).cast("bigint"))
         rows = _FOLDS[table](new if old is None else old.unionByName(new))
     write_version(rows, root, table, run_id, replay=True)
@@ -174,7 +180,9 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
     try:
         return spark.read.schema(RUN).parquet(f"{root.rstrip('/')}/runs")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RUN)
 
 
@@ -183,10 +191,10 @@ def last_ok_run(runs: DataFrame) -> int | None:
 
 
 def good_runs(runs: DataFrame, full_every: int = FULL_EVERY) -> list[int]:
-    """Successful runs since the last one that wrote full layers: at most a few times ``full_every``."""
-    ok = runs.filter("status = 'ok'").select("run_id")
-    full = ok.filter(F.col("run_id") % full_every == 0).agg(F.max("run_id")).first()[0]
-    return sorted(r.run_id for r in (ok if full is None else ok.filter(F.col("run_id") >= full)).distinct().collect())
+    """Successful runs since the last one that wrote full layers, at most ``full_every`` of them."""
+    ok = runs.filter("status = 'ok'").select("run_id").distinct()
+    n = ok.count()
+    return sorted(r.run_id for r in ok.orderBy(F.desc("run_id")).limit(n - max(n - 1, 0) // full_every * full_every).collect())
 
 
 def freeze(snapshot: DataFrame, path: str) -> None:
@@ -199,4 +207,4 @@ def export_csv(df: DataFrame, path: str) -> None:
     flat = [
         F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes
     ]
-    df.select(*flat).write.csv(path, header=True)
+    df.select(*flat).write.csv(path, header=True, escape='"')

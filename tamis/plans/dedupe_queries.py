@@ -119,18 +119,50 @@ def edge_components(spark, sf):
     return components(out.filter((short >= 20) & (F.col("shared") / short >= 0.3)).select("a", "b"))
 
 
-@register("dedupe_clusters")
+# Complete linkage in rounds: groups that are each other's best partner merge, until none are left. A pair of
+# groups counts only while all of its cross pairs are edges.
+_GROUPS = f"""{_FEATURES}, nodes AS (SELECT * FROM f WHERE id = node), {_PAIRS.format(rows="nodes")},
+    place AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY neg, id) AS k FROM nodes),
+    e AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY coalesce(ov, 0) DESC, jac DESC, least(x.k, y.k), greatest(x.k, y.k)) AS k
+        FROM q JOIN place x ON a = x.id JOIN place y ON b = y.id WHERE {_RULE}),
+    m AS (SELECT 0 AS step, id AS node, id AS grp FROM nodes
+        UNION ALL
+        (WITH s AS (SELECT grp, count(*) AS n FROM m GROUP BY grp),
+            l AS (SELECT least(x.grp, y.grp) AS ga, greatest(x.grp, y.grp) AS gb, count(*) AS c, min(k) AS best
+                FROM e JOIN m x ON a = x.node JOIN m y ON b = y.node WHERE x.grp <> y.grp GROUP BY ALL),
+            live AS (SELECT l.* FROM l JOIN s x ON ga = x.grp JOIN s y ON gb = y.grp WHERE c = x.n * y.n),
+            top AS (SELECT g, min(best) AS best FROM (SELECT ga AS g, best FROM live UNION ALL SELECT gb, best FROM live) GROUP BY g),
+            chosen AS (SELECT ga, gb FROM live JOIN top x ON ga = x.g JOIN top y ON gb = y.g WHERE live.best = x.best AND live.best = y.best)
+        SELECT step + 1, node, coalesce(ga, grp) FROM m LEFT JOIN chosen ON grp = gb WHERE EXISTS (SELECT 1 FROM chosen))),
+    members AS MATERIALIZED (SELECT id, neg, first(id) OVER (PARTITION BY grp ORDER BY neg, id) AS kept
+        FROM f JOIN m USING (node) WHERE step = (SELECT max(step) FROM m))"""
+
+
+@register("dedupe_clusters", f"WITH RECURSIVE {_GROUPS} SELECT id::VARCHAR AS url, kept::VARCHAR AS kept_url FROM members")
 def dedupe_clusters(spark, sf):
     return D.duplicate_members(postings(spark, sf)).select("url", "kept_url")
 
 
-@register("dedupe_kept")
+@register(
+    "dedupe_urls",
+    f"""WITH RECURSIVE {_GROUPS} SELECT kept::VARCHAR AS url, coalesce(string_agg(id::VARCHAR, '|' ORDER BY neg, id) FILTER (WHERE id <> kept), '') AS duplicate_urls
+        FROM members GROUP BY kept""",
+)
+def dedupe_urls(spark, sf):
+    return D.deduplicate(postings(spark, sf)).select("url", F.array_join("duplicate_urls", "|").alias("duplicate_urls"))
+
+
+@register("dedupe_kept", f"WITH RECURSIVE {_GROUPS} SELECT kept::VARCHAR AS kept_url, count(*) - 1 AS n_duplicates FROM members GROUP BY kept")
 def dedupe_kept(spark, sf):
     members = D.duplicate_members(postings(spark, sf))
     return members.groupBy("kept_url").agg((F.count(F.lit(1)) - 1).alias("n_duplicates"))
 
 
-@register("cluster_pair_labels")
+@register(
+    "cluster_pair_labels",
+    f"""WITH RECURSIVE {_GROUPS} SELECT shared > 60 AS is_dup, x.kept = y.kept AS pred, count(*) AS n
+        FROM sh JOIN members x ON a = x.id JOIN members y ON b = y.id GROUP BY ALL""",
+)
 def cluster_pair_labels(spark, sf):
     texts = materialize(_texts(spark, sf), "texts")
     _, shared = D.shared_shingles(texts)
@@ -160,7 +192,24 @@ def link_weights(spark, sf):
     return P.link_weights(postings(spark, sf).select(K.company_key("company").alias("company"))).select("c1", "c2", "pairs")
 
 
-@register("control_pairs")
+# Numbered draws over the ordered pairs of all rows of a company: a step without a common factor visits each number once.
+_CONTROL = f"""{_FEATURES}, {_PAIRS.format(rows="f")},
+    cand AS MATERIALIZED (SELECT a, b FROM q WHERE fits OR headed OR jac >= 0.5 OR coalesce(ov, 0) >= 0.5),
+    r AS MATERIALIZED (SELECT doc_id AS id, lang AS company, row_number() OVER (PARTITION BY lang ORDER BY left(md5(doc_id::VARCHAR), 2), doc_id) - 1 AS at FROM documents),
+    z AS (SELECT company, count(*) AS n FROM r GROUP BY company HAVING count(*) > 1),
+    w AS MATERIALIZED (SELECT company, n, (sum(n * (n - 1)) OVER (ORDER BY left(md5(company || '|' || company), 2), company))::BIGINT - n * (n - 1) AS start FROM z),
+    t AS (SELECT sum(n * (n - 1))::BIGINT AS total FROM z),
+    u AS (SELECT total, ('0x' || left(md5('42|start'), 12))::BIGINT % total AS start, ('0x' || left(md5('42|step'), 12))::BIGINT % total AS step FROM t),
+    v AS (SELECT total, start, (SELECT min(step + i) FROM (SELECT unnest(range(1, 1000)) AS i) WHERE gcd(step + i, total) = 1) AS step FROM u),
+    draws AS (SELECT k, ((k::HUGEINT * step + start) % total)::BIGINT AS d FROM v, (SELECT unnest(range(20000)) AS k) WHERE k < total),
+    o AS (SELECT k, company, n, d - start AS o FROM draws ASOF JOIN w ON d >= start),
+    ij AS (SELECT k, company, o // (n - 1) AS i, o % (n - 1) AS j FROM o),
+    drawn AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, min(k) AS k FROM ij JOIN r x ON x.company = ij.company AND x.at = i
+        JOIN r y ON y.company = ij.company AND y.at = CASE WHEN j >= i THEN j + 1 ELSE j END GROUP BY ALL),
+    control AS (SELECT a, b FROM drawn ANTI JOIN cand USING (a, b) ORDER BY k LIMIT 100)"""
+
+
+@register("control_pairs", f"WITH {_CONTROL} SELECT a, b FROM control")
 def control_pairs(spark, sf):
     features, shared = D.posting_features(postings(spark, sf), D.Thresholds())
     found = materialize(P.candidate_pairs(features, shared), "candidates")

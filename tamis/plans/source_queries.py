@@ -279,7 +279,7 @@ def csv_roundtrip(spark, sf):
     path = scratch_path(spark, "csv")
     p = table(spark, sf, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("words"), "p_retailprice")
     store.export_csv(p, path)
-    return spark.read.csv(path, header=True, schema="p_partkey long, p_name string, words string, p_retailprice double")
+    return spark.read.csv(path, header=True, escape='"', schema="p_partkey long, p_name string, words string, p_retailprice double")
 
 
 @register("snapshot_freeze", "SELECT doc_id, md5(text) AS text_md5 FROM documents")

@@ -139,15 +139,15 @@ def role_match(spark, sf):
 
 @register(
     "excluded_match",
-    f"SELECT doc_id, array_to_string({taxonomy_sql(TITLE_SQL, {r: [r] for r in R.excluded_roles})}, '|') AS excluded FROM documents",
+    f"SELECT doc_id, array_to_string({taxonomy_sql('text', {r: [r] for r in R.excluded_roles})}, '|') AS excluded FROM documents",
 )
 def excluded_match(spark, sf):
-    hits = matching.find_excluded_roles(title_of(), R.excluded_roles)
+    hits = matching.find_excluded_roles("text", R.excluded_roles)
     return table(spark, sf, "documents").select("doc_id", F.array_join(hits, "|").alias("excluded"))
 
 
 def _level_sql() -> str:
-    t = tight_sql(TITLE_SQL)
+    t = tight_sql('text')
     lead = f"(regexp_matches(t, '{bordered(['by the'])}') OR (regexp_matches(t, '{bordered(['the'])}') AND NOT contains(t, 'tion')))"
     return f"""SELECT doc_id, nullif(concat_ws('|', CASE WHEN regexp_matches(t, '{bordered(R.levels['junior'])}') THEN 'junior' END,
         CASE WHEN regexp_matches(t, '{bordered(R.levels['senior'])}') THEN 'senior' END, CASE WHEN {lead} THEN 'lead' END), '') AS level
@@ -156,7 +156,7 @@ def _level_sql() -> str:
 
 @register("level_match", _level_sql())
 def level_match(spark, sf):
-    level = matching.guess_level(title_of(), R.levels, unless={"the": "tion"})
+    level = matching.guess_level("text", R.levels, unless={"the": "tion"})
     return table(spark, sf, "documents").select("doc_id", F.array_join(level, "|").alias("level"))
 
 

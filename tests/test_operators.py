@@ -346,9 +346,7 @@ def test_gold_violations(spark):
     assert got == [("a", "repeated url"), ("a", "unknown keys other"), ("b", "keys without role"), ("c", "role without roles")]
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_control_pairs_avoid_candidates(spark, monkeypatch, limit):
-    monkeypatch.setattr(pairs, "ENUMERATE_UP_TO", limit)
+def test_control_pairs_avoid_candidates(spark):
     df, full = table(spark, random_rows(5, n=40))
     from tamis.operators.exact import first_per_key
 
@@ -361,6 +359,10 @@ def test_control_pairs_avoid_candidates(spark, monkeypatch, limit):
     assert pairs.link_weights(features).agg(F.sum("pairs")).first()[0] == len(every)
     control = [(r.a, r.b) for r in pairs.control_pairs(features, candidates, 25).collect()]
     assert len(control) == len(set(control)) == 25 and set(control) <= every - found
+    # a larger sample begins with the smaller one, and one that asks for too much holds all pairs once
+    more = [(r.a, r.b) for r in pairs.control_pairs(features, candidates, 10_000).collect()]
+    assert more[:25] == control and len(more) == len(every - found) and set(more) == every - found
+    assert pairs.control_pairs(features.limit(0), candidates, 5).isEmpty()
 
 
 # ---- backfill -----------------------------------------------------------------------------------------------------
