@@ -82,14 +82,23 @@ KNOWN = (
     ("CC0-1.0", "notice", "Released under CC0 1.0."),
 )
 
-# A line that begins with the word or the sign and names a year or a holder.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+# A line that states a copyright: the word, the sign or both, and right behind it a year, or behind the sign a holder. The
+# word alone also begins lines of ordinary text, and ``(c)`` alone is a list mark. Holder first, the year ends the line.
+YEAR = r"[\[<{(]?((19|20)[0-9]{2}|yyyy|years?\b)"
+MARK = r"(copyright[\s:]*(\(c\)|©|&copy;)|(\(c\)|©|&copy;)\s*copyright|©|&copy;)"
+STATED = rf"(({MARK}|copyright|\(c\))[ \t:]*(by[ \t]+)?{YEAR}[^\n]*|{MARK}[ \t]*[a-z\[<{{\x80-\uffff][^\n]*|(copyright|\(c\))[ \t][^\n]*[^0-9\n](19|20)[0-9]{{2}}[ \t.]*(?=\n|$))"
+# Where a statement and the licence share a line, it ends before the words that open the licence.
+OPENING = r"(permission is hereby granted|permission to use, copy|redistribution and use in source)"
+COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9(©&\n]*(?!{OPENING}){STATED}"
+COPYRIGHT_BEFORE = rf"({MARK}|(copyright|\(c\))[ \t:]*{YEAR})[^\n]*?(?={OPENING})"
+RESERVED = r"\ball\s+rights\s+reserved\b"
 NOTICE_LINE = "licen[cs]"
 
 
 def canonical(text: Column) -> Column:
     """Canonical form; null for a null text."""
-    out = F.regexp_replace(lower_ascii(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(lower_ascii(text), COPYRIGHT_BEFORE, " ")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), RESERVED, " ")
     out = F.trim(F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))

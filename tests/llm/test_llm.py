@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -218,6 +219,20 @@ def test_licences(spark):
     assert got == [(1, "", ()), (1, "MIT", ()), (2, "MIT", ()), (3, "", ("MIT",)), (4, "", ()), (5, "", ()), (6, "", ())]
 
 
+def test_licences_in_any_wrapping(spark):
+    whole = [(i, t) for i, kind, t in licences.KNOWN if kind == "text"]
+    texts = [(i, "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))) for i, t in whole for w in range(20, 141, 3)]
+    texts += [(i, " ".join(t.split())) for i, t in whole]
+    body = textwrap.fill(licences.MIT, 78)
+    texts += [("MIT", f"{c}\n{body}") for c in ("Copyright 2020 A B", "Copyright (c) A B", "© 2020-2021 A", "Copyright A B, 2020", "# Copyright (C) 2020, A. All rights reserved.", "Copyright 2020 A\nAll rights reserved.")]
+    texts += [("MIT", "MIT License Copyright (c) 2020 A B " + " ".join(body.split())), ("MIT", "Copyright (c) <year> <copyright holders>\n" + body)]
+    # the clause is part of the text, wherever it is wrapped
+    texts += [(None, licences.MIT[: licences.MIT.index("COPYRIGHT HOLDERS")] + licences.MIT[licences.MIT.index("ARISING FROM") :])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licences.licence_scan(docs, licences.catalogue(spark)).collect()}
+    assert [(i, got[i]) for i, (name, _) in enumerate(texts) if got[i] != name] == []
+
+
 def removed_by_hand(rows, length=suffixes.LENGTH):
     ids = sorted({r[0] for r in rows if r[0] is not None})
     first = {}
