@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -233,6 +234,36 @@ def test_licences_in_any_wrapping(spark):
     assert [(i, got[i]) for i, (name, _) in enumerate(texts) if got[i] != name] == []
 
 
+def test_licences_of_a_real_catalogue(spark):
+    texts = [(p.stem, p.read_text()) for p in sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))]
+    cases = [(i, t) for i, t in texts] + [(i, "Copyright (c) 2020 A B\n\n" + t) for i, t in texts]
+    cases += [(i, "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))) for i, t in texts for w in (37, 60, 72, 79, 100, 130)] + [(i, " ".join(t.split())) for i, t in texts]
+    bsd = dict(texts)["BSD-3-Clause"]
+    cases += [("BSD-3-Clause", bsd.replace("the copyright holder nor", "Acme Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME")), ("BSD-3-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    cases += [(i, t.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")) for i, t in texts if i in ("GPL-2.0", "LGPL-2.1")]
+    cases += [("Apache-2.0", dict(texts)["Apache-2.0"].partition("END OF TERMS")[0]), (None, bsd + "More.")]
+    lines = [
+        (["Apache-2.0"], 'Licensed under the Apache License, Version 2.0 (the "License");'),
+        (["GPL-2.0"], "x is licensed under GPL v2"),
+        (["MIT"], "# SPDX-License-Identifier: MIT"),
+        (["Apache-2.0", "MIT"], "// SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+        (["GPL-2.0"], "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"),
+        (["GPL-3.0"], "This is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+        (["LGPL-2.1"], "distributed under the GNU Lesser General Public License,\nversion 2.1. License text below"),
+        (["Apache-2.0", "MIT"], "Licensed under either of MIT/Apache-2.0 at your option"),
+        (["CC-BY-NC-SA-3.0"], "This licence: Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported"),
+        (["CDDL-1.0"], "Licensed under the Common Development and Distribution License, Version 1.0"),
+        (["BSD-3-Clause"], "Use is licensed under a 3-clause BSD license."),
+        ([], "licensed by MIT Press"),
+        ([], "licensed under GPL 2.5"),
+        ([], "The license. MIT or Apache-2.0 are others."),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases + lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.licence_scan(docs, licences.catalogue(spark)).collect()}
+    assert [(i, name, got[i]["license_id"]) for i, (name, _) in enumerate(cases) if got[i]["license_id"] != name] == []
+    assert [(t, want, got[i]["notices"]) for i, (want, t) in enumerate(lines, len(cases)) if got[i]["notices"] != want] == []
+
+
 def removed_by_hand(rows, length=suffixes.LENGTH):
     ids = sorted({r[0] for r in rows if r[0] is not None})
     first = {}
