@@ -220,7 +220,9 @@ class RunIndex:
 
 
 def packed_strings(items: list[tuple[bytes, int, int, int, bytes]]) -> bytes:
-    """(class, its document, first window, anchor, string) in order of classes, packed; equal strings once."""
+    """(class, its document, first window, anchor, string) packed in order of classes; equal strings once."""
+    # owners are rebuilt from counts, so the items of a class stand together
+    items = sorted(items, key=lambda x: x[0])
     classes = Counter((x[0], x[1]) for x in items)
     strings: dict[bytes, tuple[int, int]] = {}
     which = [strings.setdefault(x[4], (len(strings), x[3]))[0] for x in items]
@@ -281,11 +283,15 @@ def strings_of(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     """(bucket, payload): strings with repeated anchors and their places."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length)
+        anchors, seen = Anchors(length), set()
         for b in slices(batches, 1000):
             out: dict[int, list] = {}
             for name, rep, x, lists in zip(b["cls"], b["rep"], b["data"], b["lists"], strict=True):
                 data, name, rep = x.as_py(), name.as_py(), rep.as_py()
+                # repeated rows are one class
+                if name in seen:
+                    continue
+                seen.add(name)
                 known = np.sort(np.concatenate([np.frombuffer(y, np.uint64) for y in lists.as_py()]))
                 start, end, anchor = anchors.of(data)
                 hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor

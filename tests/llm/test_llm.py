@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,25 @@ def test_suffixes(docs, rows):
     assert suffixes.without_repeats(empty(docs)).collect() == []
 
 
+def test_suffixes_of_repeated_rows_apart(spark):
+    r = random.Random(9)
+    passage = ["".join(r.choices("abcdefgh ", k=300)) for _ in range(3)]
+    text = ["".join(r.choices("ijklmnop ", k=20 * k + 5)) + passage[k % 3] + "".join(r.choices("qrstuvwx ", k=9 * k)) for k in range(12)]
+    rows = [(k, t) for k, t in enumerate(text)]
+    rows = rows + rows[::-1] + rows + [(5, text[7]), (5, text[5]), (5, text[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(x) for x in suffixes.without_repeats(docs).collect()), key=str)
+    assert got == removed_by_hand(rows)
+
+
+def test_packed_strings_keep_their_owners():
+    a, b = (b"a" * 16, 1), (b"b" * 16, 2)
+    items = [(*a, 0, 1, b"x" * 60), (*b, 5, 1, b"y" * 60), (*a, 9, 2, b"z" * 60)]
+    s = suffixes.Strings(pa.chunked_array([pa.array([suffixes.packed_strings(items)], pa.binary())]))
+    got = sorted((bytes(s.name[o]), int(r), int(at), s.distinct[w]) for o, r, at, w in zip(s.owner, s.rep, s.start, s.which))
+    assert got == sorted((n, r, at, x) for n, r, at, _, x in items)
+
+
 def test_run_index_on_repetitive_strings():
     r = random.Random(4)
     strings = list({bytes(r.choices(b"ab", k=r.randint(50, 70))) for _ in range(50)} | {b"a" * n for n in range(50, 60)} | {b"ab" * n for n in range(25, 33)})
