@@ -28,6 +28,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+HOT_ROWS = 256
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row per ``key`` and counts in ``size`` how many rows will meet it.
+
+    Values that meet more than 1/256 of all rows number at most 256: these are broadcast, so their rows stay where they
+    lie. All others meet by a shuffle. Rows whose key has no value are left out.
+    """
+    total = values.agg(F.sum(size)).first()[0] or 0
+    hot = values.where(F.col(size) * HOT_ROWS > total).drop(size)
+    cold = values.where(F.col(size) * HOT_ROWS <= total).drop(size)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def as_text(value: str | None) -> str:
     return value if isinstance(value, str) else ""
 

@@ -14,8 +14,11 @@ from .neighbours import search
 from .packing import pack
 from .pages import main_text
 from .quality import quality
+from .simhash import simhash_components
+from .spelling import variants
 from .suffixes import without_repeats
 from .credentials import report
+from .whitening import whiten
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +63,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_quality_rules, op4_learned_partitions, op5_best_fit_packing, op6_license_scan, op7_suffix_dedup, op8_secret_scan, op9_language_id, op10_html_extraction)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_source_mixing,
+        op3_quality_rules,
+        op4_learned_partitions,
+        op5_best_fit_packing,
+        op6_license_scan,
+        op7_suffix_dedup,
+        op8_secret_scan,
+        op9_language_id,
+        op10_html_extraction,
+        op11_simhash_near_dedup,
+        op12_spelling_variants,
+        op13_embedding_whitening,
+    )
+}
 ORACLES: dict[str, str] = {}
