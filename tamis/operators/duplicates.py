@@ -166,9 +166,9 @@ def _meet(left: DataFrame, right: DataFrame, prefixes: DataFrame, key: str, keep
     """
     l_side = left.select(
         "company", key, F.col("id").alias("l_id"), F.col("source").alias("l_source"),
-        F.col("has_text").alias("l_text"), F.col("words").alias("l_words"),
+        F.col("has_text").alias("l_text"), F.col("words").alias("l_words"), F.col("fam").alias("l_fam"),
     )
-    r_side = right.select("company", key, "id", "source", "has_text", F.col("words").alias("r_words"))
+    r_side = right.select("company", key, "id", "source", "has_text", F.col("words").alias("r_words"), "fam")
 
     def under_prefixes(rows: DataFrame, links: DataFrame) -> DataFrame:
         return rows.join(links, "company").drop("company").withColumnRenamed("prefix", "company")
@@ -185,18 +185,40 @@ def _cross_board() -> Column:
     return ~F.col("l_source").eqNullSafe(F.col("source"))
 
 
+def title_families(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Postings with text, of one company, with the same title words and on several boards, as members of families.
+
+    Across boards any two of them are duplicates, whatever their texts, so grouping takes them as whole classes (company,
+    board, title) and their pairs are never listed. Columns as in :func:`graph.complete_linkage`. A title that a
+    related company also has stays with the listed pairs, as does one on more than 62 boards.
+    """
+    titled = nodes.filter(F.col("has_text") & (F.size("words") > 0)).withColumn("board_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    classes = titled.groupBy("company", "title_key", "board_key").agg(F.min("id").alias("board"))
+    titles = classes.groupBy("company", "title_key").agg(F.min("board").alias("fam"), F.sort_array(F.collect_list("board_key")).alias("boards"))
+    under = titles.select("company", "title_key").join(prefixes.filter("company <> prefix"), "company")
+    pairs = under.join(titles.select(F.col("company").alias("prefix"), "title_key"), ["prefix", "title_key"])
+    related = pairs.select(F.explode(F.array("company", "prefix")).alias("company"), "title_key").distinct()
+    alone = titles.filter((F.size("boards") > 1) & (F.size("boards") <= 62)).join(related, ["company", "title_key"], "left_anti")
+    placed = alone.select("company", "title_key", "fam", F.posexplode("boards").alias("bit", "board_key"), F.expr("shiftleft(1L, size(boards)) - 1").alias("full"))
+    known = placed.join(classes, ["company", "title_key", "board_key"])
+    key = F.when(F.col("key_shared"), F.xxhash64("url_key"))
+    return titled.join(known, ["company", "title_key", "board_key"]).select(F.col("id").alias("node"), "fam", "board", "bit", "full", "neg", key.alias("key"))
+
+
 def duplicate_candidates(nodes: DataFrame, shared: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``(a, b, shared)``: every pair the duplicate rule can accept, and few others.
 
     The rule accepts a pair only for an equal url key, for equal or nested titles where text cannot
-    decide, or for shared text; each becomes an equality join.
+    decide, or for shared text; each becomes an equality join. Rows of one family (``fam``, if not NULL) meet
+    only by text or url key.
     """
     by_key = nodes.filter("key_shared")
     same_key = _meet(by_key, by_key, prefixes, "url_key")
 
     titled = nodes.filter(F.size("words") > 0)
     either = _cross_board() | ~(F.col("l_text") & F.col("has_text"))
-    same_words = _meet(titled, titled, prefixes, "title_key", either)
+    apart = F.coalesce(F.col("l_fam") != F.col("fam"), F.lit(True))
+    same_words = _meet(titled, titled, prefixes, "title_key", either & apart)
 
     # nested titles count across boards when one side has no text: meet on the rarest word of the
     # smaller title, which the larger one must contain
@@ -252,16 +274,25 @@ def is_duplicate(t: Thresholds) -> Column:
     )
 
 
-def duplicate_edges(features: DataFrame, shared: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def _nodes(features: DataFrame) -> DataFrame:
+    return features.filter("id = node and company <> ''").withColumn("title_key", F.array_join("words", " "))
+
+
+def duplicate_edges(features: DataFrame, shared: DataFrame, t: Thresholds = Thresholds(), families: DataFrame | None = None) -> DataFrame:
     """``(a, b, overlap, jaccard, best)`` between nodes; ``best`` orders edges as they are merged.
 
     Most shared text first, then the most similar titles; ties by company lead rank and then by the
-    completeness ranks of the two rows, the row of the earlier company first.
+    completeness ranks of the two rows, the row of the earlier company first. Pairs that ``families`` imply
+    are listed only if they share text.
     """
-    nodes = features.filter("id = node and company <> ''").withColumn("title_key", F.array_join("words", " "))
+    nodes = _nodes(features)
     prefixes = company_prefixes(nodes)
+    if families is None:
+        nodes = nodes.withColumn("fam", F.lit(None).cast("long"))
+    else:
+        nodes = nodes.join(families.select(F.col("node").alias("id"), "fam"), "id", "left")
     judged = (
-        attach_pair(duplicate_candidates(nodes, shared, prefixes), nodes.drop("title_key", "node", "key_shared"))
+        attach_pair(duplicate_candidates(nodes, shared, prefixes), nodes.drop("title_key", "node", "key_shared", "fam"))
         .withColumn("overlap", overlap(t))
         .filter(K.same_company(F.col("x.company"), F.col("y.company")))
         .filter(is_duplicate(t))
@@ -298,7 +329,9 @@ def duplicate_members(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     firsts = df.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq")).select("ingest_seq")
     unique = df.join(firsts, "ingest_seq", "left_semi")
     features, shared = posting_features(unique, t)
-    groups = complete_linkage(duplicate_edges(features, shared, t))
+    nodes = _nodes(features)
+    families = materialize(title_families(nodes, company_prefixes(nodes)), "families")
+    groups = complete_linkage(duplicate_edges(features, shared, t, families), families)
     grouped = features.join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn(
         "grp", F.coalesce("grp", "node")
     )

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-
-SMALL_COMPONENT_EDGES = 300_000  # a component up to this size is finished inside one task (some 100 MB)
-ROUNDS_PER_PASS = 4
+from .rank import numbered
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,135 +49,218 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _merge_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge two groups when all their cross pairs are edges; edges come best first per component."""
-    current, parent, size, links = None, {}, {}, {}
-
-    def root(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    def flush():
-        nodes = list(parent)
-        return pd.DataFrame({"node": nodes, "grp": [root(n) for n in nodes]}, dtype="int64")
-
-    def solve(queue):
-        for a, b in queue:
-            x, y = root(a), root(b)
-            if x == y or links[x].get(y, 0) != size[x] * size[y]:
-                continue
-            if len(links[x]) < len(links[y]):
-                x, y = y, x
-            parent[y] = x
-            size[x] += size.pop(y)
-            links[x].pop(y, None)
-            for z, n in links.pop(y).items():
-                if z == x:
-                    continue
-                links[x][z] = links[z][x] = links[x].get(z, 0) + n
-                links[z].pop(y, None)
-
-    queue: list[tuple[int, int]] = []
-    for pdf in batches:
-        for comp, a, b, cnt, sa, sb in zip(
-            pdf["component"].tolist(), pdf["a"].tolist(), pdf["b"].tolist(),
-            pdf["cnt"].tolist(), pdf["sa"].tolist(), pdf["sb"].tolist(),
-        ):
-            if comp != current:
-                if queue:
-                    solve(queue)
-                    yield flush()
-                current, parent, size, links, queue = comp, {}, {}, {}, []
-            for n, s in ((a, sa), (b, sb)):
-                if n not in parent:
-                    parent[n], size[n], links[n] = n, s, {}
-            links[a][b] = links[b][a] = cnt
-            queue.append((a, b))
-    if queue:
-        solve(queue)
-        yield flush()
-
-
-def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge every edge that is the best one left at both of its ends.
-
-    Returns ``(node, grp)`` for the merged ends and the remaining edges between groups. An edge
-    between two groups lives on only while all of their cross pairs are edges; groups only grow, so a
-    dead edge never comes back.
-    """
+# ---- complete linkage -----------------------------------------------------------------------------
+#
+# Edges come in two forms. Listed ones are rows. Those of a family are not listed: a family is a set of nodes on
+# several boards, in which every two nodes of different boards are an edge. A listed edge inside a family across
+# its boards only says that the pair ranks earlier.
+#
+# Work on listed edges is a table of edges between groups: a, b, sizes sa and sb, places in families ha and hb (family,
+# board and number of nodes), cnt (listed edges that no family implies), and the best edge between the two.
+
+_HIST = "array<struct<fam: bigint, board: bigint, n: bigint>>"
+
+
+def _implied(ha: str, hb: str) -> Column:
+    """How many edges the families imply between two groups."""
+    return F.expr(f"aggregate({ha}, 0L, (s, x) -> s + x.n * aggregate(filter({hb}, y -> y.fam = x.fam and y.board <> x.board), 0L, (t, y) -> t + y.n))")
+
+
+def _complete() -> Column:
+    return F.col("cnt") + _implied("ha", "hb") == F.col("sa") * F.col("sb")
+
+
+def _best_at_both_ends(edges: DataFrame) -> DataFrame:
     ends = edges.select("best", F.explode(F.array("a", "b")).alias("node"))
     best = ends.groupBy("node").agg(F.min("best").alias("top"))
-    chosen = (
+    return (
         edges.join(best.select(F.col("node").alias("a"), F.col("top").alias("top_a")), "a")
         .join(best.select(F.col("node").alias("b"), F.col("top").alias("top_b")), "b")
         .filter((F.col("best") == F.col("top_a")) & (F.col("best") == F.col("top_b")))
     )
-    merged = materialize(
-        chosen.select((F.col("sa") + F.col("sb")).alias("size"), F.least("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("node")),
-        "merged",
-    )
+
+
+def _contract(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """The edges between the groups after ``moves`` (node, grp, size, hist).
+
+    An edge between two groups lives on only while all of their cross pairs are edges; groups only grow, so a
+    dead edge never comes back.
+    """
 
     def relabel(df: DataFrame, end: str) -> DataFrame:
-        m = merged.select(F.col("node").alias(end), F.col("grp").alias("_g"), F.col("size").alias("_s"))
+        m = moves.select(F.col("node").alias(end), F.col("grp").alias("_g"), F.col("size").alias("_s"), F.col("hist").alias("_h"))
         return df.join(m, end, "left").withColumns(
-            {f"g{end}": F.coalesce("_g", end), f"s{end}": F.coalesce("_s", f"s{end}")}
-        ).drop("_g", "_s")
+            {f"g{end}": F.coalesce("_g", end), f"s{end}": F.coalesce("_s", f"s{end}"), f"h{end}": F.coalesce("_h", f"h{end}")}
+        ).drop("_g", "_s", "_h")
 
     moved = relabel(relabel(edges, "a"), "b").filter("ga <> gb")
     low_first = F.col("ga") < F.col("gb")
+    pick = lambda x, y: F.when(low_first, F.col(x)).otherwise(F.col(y))
     left = (
         moved.select(
-            F.least("ga", "gb").alias("a"),
-            F.greatest("ga", "gb").alias("b"),
-            F.when(low_first, F.col("sa")).otherwise(F.col("sb")).alias("sa"),
-            F.when(low_first, F.col("sb")).otherwise(F.col("sa")).alias("sb"),
-            "cnt",
-            "best",
+            F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"),
+            pick("sa", "sb").alias("sa"), pick("sb", "sa").alias("sb"),
+            pick("ha", "hb").alias("ha"), pick("hb", "ha").alias("hb"), "cnt", "best",
         )
         .groupBy("a", "b")
-        .agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("cnt").alias("cnt"), F.min("best").alias("best"))
-        .filter("cnt = sa * sb")
+        .agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.first("ha").alias("ha"), F.first("hb").alias("hb"), F.sum("cnt").alias("cnt"), F.min("best").alias("best"))
+    )
+    return materialize(left.filter(_complete()), "edges")
+
+
+def _rounds(edges: DataFrame, steps: list[DataFrame], first: Column | None = None) -> DataFrame:
+    """Merge every edge that is the best one left at both of its ends, until none is left (that is among the ``first``).
+
+    The merges of a round do not touch each other, and nothing better can come before any of them, so the groups
+    are those of one edge at a time.
+    """
+    while True:
+        chosen = _best_at_both_ends(edges)
+        if first is not None:
+            chosen = chosen.filter(first)
+        moves = materialize(
+            chosen.select((F.col("sa") + F.col("sb")).alias("size"), F.concat("ha", "hb").alias("hist"), F.least("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("node")),
+            "moves",
+        )
+        if moves.isEmpty():
+            return edges
+        steps.append(moves.select("node", "grp"))
+        edges = _contract(edges, moves)
+
+
+def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Place each item of a family, in order, into the first slot that has none of its boards.
+
+    Only the open slots of one family are held, as numbers. Nodes that share a key are edges even on one board, so an item
+    whose nodes on a board all share a key also fits a slot whose nodes on that board share the same one.
+    """
+    fam, full, slots = None, 0, 0
+    open_: dict[int, list[int]] = defaultdict(list)  # boards taken -> slots
+    taken: dict[int, int] = {}  # slot -> boards
+    keys: dict[int, dict[int, int | None]] = {}  # slot -> board -> the key that all nodes there share
+    holding: dict[int, list[int]] = defaultdict(list)  # key -> slots
+
+    for pdf in batches:
+        out = []
+        for f, boards, all_boards, shared in zip(pdf["fam"].tolist(), pdf["mask"].tolist(), pdf["full"].tolist(), pdf["shared"].tolist()):
+            if f != fam:
+                fam, full, slots = f, all_boards, 0
+                open_, taken, keys, holding = defaultdict(list), {}, {}, defaultdict(list)
+            mine = {int(s["board"]): (None if s["key"] is None else int(s["key"])) for s in shared}
+            best = None
+            for mask in [m for m, q in open_.items() if q and not m & boards]:
+                if best is None or open_[mask][0] < best:
+                    best = open_[mask][0]
+            for key in set(mine.values()) - {None}:
+                for slot in holding[key]:
+                    both = taken[slot] & boards
+                    theirs = keys[slot]
+                    if both and (best is None or slot < best) and all(
+                        mine.get(b) is not None and mine.get(b) == theirs.get(b) for b in range(both.bit_length()) if both >> b & 1
+                    ):
+                        best = slot
+            if best is None:
+                slots += 1
+                best, before = slots, 0
+            else:
+                before = taken[best]
+                if before != full:
+                    heappop(open_[before]) if open_[before][0] == best else open_[before].remove(best)
+            taken[best] = before | boards
+            if taken[best] != full:
+                heappush(open_[taken[best]], best)
+            place = keys.setdefault(best, {})
+            for b in range(boards.bit_length()):
+                if boards >> b & 1:
+                    place[b] = mine.get(b) if not before >> b & 1 or place.get(b) == mine.get(b) else None
+            for key in set(mine.values()) - {None}:
+                if best not in holding[key]:
+                    holding[key].append(best)
+            out.append(best)
+        yield pd.DataFrame({"grp": pdf["grp"], "fam": pdf["fam"], "slot": out})
+
+
+def _line_up(members: DataFrame, place: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Merges of all edges that only families imply, as ``moves``.
+
+    Groups that lie wholly in a family merge in the order of their first nodes: each takes the first place in a row of slots
+    that holds none of its boards. Where every group has one board (or all of them), the k-th group of each board takes the
+    k-th free slot, so places are plain numbers, found without a task that holds a family. Only a family in which some
+    groups have several boards but not all, or in which nodes of one board share a key, is walked through in order.
+    """
+    at = _follow(members.select("node").unionByName(place).distinct(), steps)
+    sizes = at.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    tagged = members.join(at, "node")
+    per_board = tagged.groupBy("grp", "fam", "board", "bit", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("neg", "node")).alias("first"),
+        F.count("key").alias("keyed"), F.min("key").alias("low"), F.max("key").alias("high"),
+    )
+    one_key = F.when((F.col("keyed") == F.col("n")) & (F.col("low") == F.col("high")), F.col("low"))
+    items = (
+        per_board.groupBy("grp")
+        .agg(
+            F.min("fam").alias("fam"), F.max("fam").alias("_f"), F.max("full").alias("full"), F.sum("n").alias("n"), F.min("first").alias("first"),
+            F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"),
+            F.collect_list(F.struct(F.col("bit").alias("board"), one_key.alias("key"))).alias("shared"),
+            F.collect_list(F.struct("fam", "board", "n")).alias("hist"),
+        )
+        .join(sizes, "grp")
+        .filter("fam = _f and n = size")
+        .drop("_f", "n")
+    )
+    items = materialize(items, "items")
+    # families with nodes of one board that share a key, or with groups of several boards but not all
+    twice = tagged.filter("key is not null").groupBy("fam", "board", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fam")
+    partly = items.filter("mask <> full and bit_count(mask) > 1").select("fam")
+    uneven = materialize(twice.union(partly).distinct(), "uneven")
+    single = items.filter("bit_count(mask) = 1").join(uneven, "fam", "left_anti")
+    single = numbered(single.select("grp", "fam", "mask", F.col("first.neg").alias("neg"), F.col("first.node").alias("node")), ["fam", "mask"], ["neg", "node"], "slot")
+    walked = items.join(uneven, "fam", "left_semi")
+    walked = walked.repartition("fam").sortWithinPartitions("fam", "first").select("grp", "fam", "mask", "full", "shared")
+    slots = single.select("grp", "fam", "slot").unionByName(walked.mapInPandas(_first_fit, "grp long, fam long, slot long"))
+    slots = slots.join(items.select("grp", "size", "hist", "first"), "grp")
+    merged = slots.groupBy("fam", "slot").agg(
+        F.min("grp").alias("to"), F.sum("size").alias("size"), F.flatten(F.collect_list("hist")).alias("hist"), F.collect_list("grp").alias("from")
     )
-    return merged.select("node", "grp"), materialize(left, "edges")
+    moves = merged.filter(F.size("from") > 1).select(F.col("to").alias("grp"), "size", "hist", F.explode("from").alias("node"))
+    return materialize(moves, "moves")
 
 
-def complete_linkage(edges: DataFrame, small: int = SMALL_COMPONENT_EDGES) -> DataFrame:
+def complete_linkage(edges: DataFrame, members: DataFrame | None = None, later: str = "best.o = 0") -> DataFrame:
     """``(node, grp)``: groups of nodes in which every pair is an edge, merged best edge first.
 
-    ``edges`` holds ``a, b`` (longs) and ``best``, a struct that orders all edges strictly. Nodes
-    without an edge do not appear. Components of up to ``small`` edges are solved where they lie;
-    larger ones shrink by whole rounds of mutually best merges, spread over the cluster, until their
-    remains fall apart. Both ways give the groups of the plain one-edge-at-a-time procedure.
+    ``edges`` holds ``a, b`` (longs) and ``best``, a struct that orders all edges strictly. ``members`` holds
+    the nodes of families: ``node, fam, board`` (longs), ``bit`` (number of the board in its family), ``full`` (the bits of all
+    boards), ``neg`` (rank, with the node) and ``key`` (NULL, or a value that makes nodes of a board edges). Edges
+    that only a family implies come after the listed ones that are not ``later``, before all others of their nodes, and in
+    the order of the lower and the higher rank. Nodes without an edge do not appear.
+
+    All work is done on tables: rounds of merges that are the best at both ends, and one numbering of the families between
+    them. A round costs a few joins on what is left of the edges.
     """
+    if members is None:
+        members = edges.sparkSession.createDataFrame([], "node long, fam long, board long, bit int, full long, neg double, key long")
+    held = members.select("node", "fam", "board")
+    work = edges.select("a", "b", "best")
+    for end in "ab":
+        side = held.select(F.col("node").alias(end), F.col("fam").alias(f"f{end}"), F.col("board").alias(f"b{end}"))
+        work = work.join(side, end, "left")
+    one, none = F.lit(1).cast("long"), F.array().cast(_HIST)
+    hist = lambda e: F.when(F.col(f"f{e}").isNotNull(), F.array(F.struct(F.col(f"f{e}").alias("fam"), F.col(f"b{e}").alias("board"), one.alias("n")))).otherwise(none)
+    implied = F.coalesce((F.col("fa") == F.col("fb")) & (F.col("ba") != F.col("bb")), F.lit(False))
     work = materialize(
-        edges.select("a", "b", F.lit(1).cast("long").alias("sa"), F.lit(1).cast("long").alias("sb"), F.lit(1).cast("long").alias("cnt"), "best"),
+        work.select("a", "b", one.alias("sa"), one.alias("sb"), hist("a").alias("ha"), hist("b").alias("hb"), F.when(implied, 0).otherwise(1).cast("long").alias("cnt"), "best"),
         "edges",
     )
-    nodes = work.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    listed = work.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     steps: list[DataFrame] = []
-    while not work.isEmpty():
-        comp = components(work)
-        sized = work.join(comp.select(F.col("node").alias("a"), "component"), "a")
-        n_edges = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        tagged = materialize(sized.join(n_edges, "component"), "tagged")
-        done = (
-            tagged.filter(F.col("n") <= small)
-            .select("component", "a", "b", "cnt", "sa", "sb", "best")
-            .repartition("component")
-            .sortWithinPartitions("component", "best")
-            .drop("best")
-            .mapInPandas(_merge_in_order, "node long, grp long")
-        )
-        steps.append(materialize(done, "groups"))
-        work = tagged.filter(F.col("n") > small).drop("component", "n")
-        if work.isEmpty():
-            break
-        for _ in range(ROUNDS_PER_PASS):
-            merged, work = _contract(work)
-            steps.append(merged)
-    return _follow(nodes, steps)
+    work = _rounds(work, steps, ~F.expr(later))
+    moves = _line_up(members, listed, steps)
+    if not moves.isEmpty():
+        steps.append(moves.select("node", "grp"))
+        work = _contract(work, moves)
+    _rounds(work, steps)
+    return _follow(listed.unionByName(members.select("node")).distinct(), steps)
 
 
 def _follow(nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:

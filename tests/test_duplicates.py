@@ -115,27 +115,79 @@ def random_rows(seed, n=90, hot=False):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot", "small"), [(1, False, 20_000), (2, True, 20_000), (3, True, 0), (4, False, 3)])
-def test_groups_have_the_properties_of_complete_linkage(spark, seed, hot, small):
-    df, _ = table(spark, random_rows(seed, hot=hot))
+def one_edge_at_a_time(ranked):
+    """Groups by the plain procedure: best edge first, merged when all cross pairs are edges."""
+    pairs = {frozenset(p) for p in ranked}
+    group = {n: [n] for p in ranked for n in p}
+    for a, b in ranked:
+        x, y = group[a], group[b]
+        if x is not y and all(frozenset((m, k)) in pairs for m in x for k in y):
+            x += y
+            group.update(dict.fromkeys(y, x))
+    return {frozenset(g) for g in group.values()}
+
+
+def linked(spark, df, steps=None):
+    """Groups of more than one posting, by classes and by the plain procedure over all listed pairs."""
     firsts = df.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq")).select("ingest_seq")
     features, shared = D.posting_features(df.join(firsts, "ingest_seq", "left_semi"), D.Thresholds())
-    edges = D.duplicate_edges(features, shared).cache()
-    ranked = edges.orderBy("best").select("a", "b").collect()
-    pairs = {frozenset((r.a, r.b)) for r in ranked}
-    group = {r.node: r.grp for r in G.complete_linkage(edges, small).collect()}
-    members = {}
-    for node in {n for p in pairs for n in p}:
-        members.setdefault(group.get(node, node), set()).add(node)
-    groups = list(members.values())
-    # all of a group are duplicates of each other, and no two groups could still be joined
-    assert all(frozenset((x, y)) in pairs for g in groups for x in g for y in g if x < y)
-    assert not any(all(frozenset((x, y)) in pairs for x in g for y in h) for i, g in enumerate(groups) for h in groups[:i])
-    # the best edge of all is always taken
-    assert not ranked or group[ranked[0].a] == group[ranked[0].b]
-    # neither the order nor the partitions of the edges matter
-    again = {r.node: r.grp for r in G.complete_linkage(edges.repartition(5, F.rand(seed)), small).collect()}
-    assert {frozenset(n for n in group if group[n] == v) for v in group.values()} == {frozenset(n for n in again if again[n] == v) for v in again.values()}
+    nodes = D._nodes(features)
+    families = D.title_families(nodes, D.company_prefixes(nodes)).cache()
+    got = {}
+    for r in G.complete_linkage(D.duplicate_edges(features, shared, families=families), families).collect():
+        got.setdefault(r.grp, set()).add(r.node)
+    ranked = D.duplicate_edges(features, shared).orderBy("best").select("a", "b").collect()
+    want = one_edge_at_a_time([tuple(r) for r in ranked])
+    return {frozenset(g) for g in got.values() if len(g) > 1}, {g for g in want if len(g) > 1}, families.count()
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, False), (2, True), (3, True), (4, False)])
+def test_groups_are_those_of_one_edge_at_a_time(spark, seed, hot):
+    df, _ = table(spark, random_rows(seed, hot=hot))
+    got, want, _ = linked(spark, df)
+    assert got == want
+
+
+def family_rows(seed, n=70, boards="ghk", related=False):
+    """One title of one company on several boards: own texts, reposted texts, changed slugs, rows without text."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    bodies = [" ".join(rng.choices(vocab, k=40)) for _ in range(n)]
+    rows = []
+    for i in range(n):
+        body = rng.choice(bodies) if rng.random() < 0.4 else bodies[i]
+        if rng.random() < 0.3:
+            body = " ".join(body.split()[: rng.randint(10, 40)] + rng.choices(vocab, k=12))
+        if rng.random() < 0.1:
+            body = "коротко"
+        url = f"/vacancies/{rng.randint(1, n)}-{i}" if rng.random() < 0.3 else f"u{i}"
+        company = rng.choice(["клевер", "клевер плюс"]) if related else "клевер"
+        title = "data scientist" if rng.random() < 0.85 else "data scientist nlp"
+        rows.append(dict(url=url, source=rng.choice(boards) if rng.random() < 0.95 else None, company=company, title=title, description=body, salary_min=rng.choice([None, 1.0])))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "boards", "related"), [(1, "gh", False), (2, "ghk", False), (3, "ghkm", False), (4, "ghk", True)])
+def test_repeated_titles_merge_as_classes(spark, seed, boards, related):
+    df, _ = table(spark, family_rows(seed, boards=boards, related=related))
+    got, want, members = linked(spark, df)
+    assert got == want and (members > 40 or related)
+
+
+def test_repeated_titles_take_no_more_rounds_when_there_are_more(spark, monkeypatch):
+    calls = []
+    rounds = G._best_at_both_ends
+    monkeypatch.setattr(G, "_best_at_both_ends", lambda edges: calls.append(1) or rounds(edges))
+    taken = []
+    for n in (200, 400):
+        vocab = [f"x{i}" for i in range(30 * n)]
+        rows = [dict(url=f"{b}{i}", source=b, title="курьер", company="клевер", description=" ".join(random.Random(f"{b}{i}").sample(vocab, 30))) for i in range(n) for b in "gh"]
+        df, _ = table(spark, rows)
+        calls.clear()
+        kept = D.duplicate_members(df).groupBy("kept_seq").count().collect()
+        assert len(kept) == n and {r["count"] for r in kept} == {2}
+        taken.append(len(calls))
+    assert taken[0] == taken[1]
 
 
 def test_mass_copies_are_one_group(spark):
