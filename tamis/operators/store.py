@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RUN
+from ..schemas import MANIFEST, RUN_EVENT
 
 TEXT_COLUMNS = ["url", "title", "company", "location", "work_format", "source"]
 OPTIONAL_LISTS = ["specialization", "level", "skills"]
@@ -30,22 +32,28 @@ def fold_raw(raw: DataFrame | None, rows: DataFrame) -> DataFrame:
     """Old raw layer and new rows as one row per url.
 
     First sight and source stay, last sight, title, company and payload follow the latest row. Folding
-    the same rows again changes nothing, so a replayed batch is harmless.
+    the same rows again changes nothing, so a replayed batch is harmless. ``seq`` must not repeat for a url and a time.
     """
-    return _fold_raw(rows if raw is None else raw.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(rows))
+    new = rows.withColumn("first_seq", F.col("seq")).withColumnRenamed("seq", "last_seq")
+    if raw is not None:
+        old = F.lit(-1).cast("bigint")
+        new = raw.withColumns({"first_seq": old, "last_seq": old}).unionByName(new)
+    return _fold_raw(new).drop("first_seq", "last_seq")
 
 
 def _fold_raw(both: DataFrame) -> DataFrame:
-    latest = F.max_by(F.struct("title", "company", "payload"), F.struct("last_seen_at", "seq"))
-    return (
+    """Fold rows that know the order of their first and of their last sight.
+
+    What stays is picked on narrow columns; payloads move once, to meet the pick, and are never sorted.
+    """
+    picks = (
         both.groupBy("url")
-        .agg(
-            F.min_by("source", F.struct("first_seen_at", "seq")).alias("source"),
-            latest.alias("_l"),
-            F.min("first_seen_at").alias("first_seen_at"),
-            F.max("last_seen_at").alias("last_seen_at"),
-        )
-        .select("url", "source", "_l.title", "_l.company", "_l.payload", "first_seen_at", "last_seen_at")
+        .agg(F.min(F.struct("first_seen_at", "first_seq", "source")).alias("f"), F.max(F.struct("last_seen_at", "last_seq")).alias("l"))
+        .select("url", "f.source", "f.first_seen_at", "f.first_seq", "l.last_seen_at", "l.last_seq")
+    )
+    wide = both.select("url", "last_seen_at", "last_seq", "title", "company", "payload")
+    return wide.join(picks.hint("shuffle_hash"), ["url", "last_seen_at", "last_seq"]).select(
+        "url", "source", "title", "company", "payload", "first_seen_at", "last_seen_at", "first_seq", "last_seq"
     )
 
 
@@ -87,22 +95,18 @@ def encode_targets(df: DataFrame, run_id: int | None) -> DataFrame:
 
 def fold_targets(archive: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Archive and a new batch as one row per url: new content wins, a backfill keeps the old run id."""
-    both = batch.withColumn("seq", F.lit(1))
+    both = batch.withColumns({"seq": F.lit(1).cast("bigint"), "run_seq": F.when(F.col("last_run_id").isNotNull(), F.lit(1).cast("bigint"))})
     if archive is not None:
-        both = archive.withColumn("seq", F.lit(0)).unionByName(both)
-    return _fold_targets(both)
+        old = archive.withColumns({"seq": F.lit(0).cast("bigint"), "run_seq": F.when(F.col("last_run_id").isNotNull(), F.lit(0).cast("bigint"))})
+        both = old.unionByName(both)
+    return _fold_targets(both).drop("seq", "run_seq")
 
 
 def _fold_targets(both: DataFrame) -> DataFrame:
-    content = [c for c in both.columns if c not in ("url", "last_run_id", "seq")]
-    return (
-        both.groupBy("url")
-        .agg(
-            F.max_by(F.struct(*content), "seq").alias("_c"),
-            F.max_by("last_run_id", F.when(F.col("last_run_id").isNotNull(), F.col("seq"))).alias("last_run_id"),
-        )
-        .select("url", "_c.*", "last_run_id")
-    )
+    """Fold rows that know the order of their content (``seq``) and of their run id (``run_seq``, NULL without one)."""
+    run = F.max(F.when(F.col("last_run_id").isNotNull(), F.struct("run_seq", "last_run_id")))
+    picks = both.groupBy("url").agg(F.max("seq").alias("seq"), run.alias("r")).select("url", "seq", "r.run_seq", "r.last_run_id")
+    return both.drop("last_run_id", "run_seq").join(picks.hint("shuffle_hash"), ["url", "seq"])
 
 
 def latest_snapshot(targets: DataFrame, runs: DataFrame) -> DataFrame:
@@ -119,6 +123,72 @@ def newest_first(targets: DataFrame) -> DataFrame:
     return targets.orderBy(F.col("published_at").desc_nulls_last(), "url")
 
 
+# ---- run log --------------------------------------------------------------------------------------------
+#
+# A run leaves a row when it starts and another when it ends. Its rows are never changed, so a run that dies hard is seen
+# by the end that it lacks. A run may be tried again; every try has a name of its own.
+
+
+def next_run_id(runs: DataFrame) -> int:
+    return (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+
+
+def _log(spark: SparkSession, root: str, run: tuple[int, str], at: datetime, event: str, counts: tuple = (None, None, None)) -> None:
+    spark.createDataFrame([(*run, at, event, *counts)], RUN_EVENT).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+
+
+def start_run(spark: SparkSession, root: str, run_id: int, at: datetime) -> tuple[int, str]:
+    """Log the start of a try of a run; the returned name goes with everything that the try writes."""
+    run = (run_id, uuid.uuid4().hex)
+    _log(spark, root, run, at, "started")
+    return run
+
+
+def end_run(spark: SparkSession, root: str, run: tuple[int, str], at: datetime, status: str, counts: tuple = (None, None, None)) -> None:
+    """Log the end of a try, ``ok`` or ``failed``. Readers see what it wrote from an ``ok`` on, all at once."""
+    _log(spark, root, run, at, status, counts)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the run log, empty before the first run."""
+    return _read_or_empty(spark, f"{root.rstrip('/')}/runs", RUN_EVENT)
+
+
+def fold_runs(events: DataFrame) -> DataFrame:
+    """One row per run out of the log: its best try (``ok`` before others, then the latest), and how many tries there were."""
+    ended = F.col("event") != "started"
+    tries = events.groupBy("run_id", "attempt").agg(
+        F.min(F.when(~ended, F.col("at"))).alias("started_at"),
+        F.max(F.when(ended, F.struct((F.col("event") == "ok").alias("good"), "at", F.col("event").alias("status"), "n_raw", "n_deduped", "n_target"))).alias("e"),
+    )
+    best = F.struct(F.coalesce("e.good", F.lit(False)).alias("good"), F.coalesce("started_at", "e.at").alias("t"), "attempt", "started_at", "e")
+    return tries.groupBy("run_id").agg(F.max(best).alias("b"), F.count(F.lit(1)).alias("tries")).select(
+        "run_id", "b.started_at", F.col("b.e.at").alias("finished_at"), F.coalesce("b.e.status", F.lit("started")).alias("status"),
+        "b.e.n_raw", "b.e.n_deduped", "b.e.n_target", "b.attempt", "tries",
+    )
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    return fold_runs(read_events(spark, root))
+
+
+def audit_runs(runs: DataFrame, now: Column, patience: Column) -> DataFrame:
+    """Runs with ``lost`` for those that began longer than ``patience`` ago and never ended."""
+    stale = (F.col("status") == "started") & (F.col("started_at") < now - patience)
+    return runs.withColumn("status", F.when(stale, "lost").otherwise(F.col("status")))
+
+
 # ---- versioned tables -----------------------------------------------------------------------------------
 
 
@@ -131,70 +201,89 @@ def write_version(df: DataFrame, root: str, table: str, version: int | str, repl
     df.write.mode("overwrite" if replay else "errorifexists").parquet(version_path(root, table, version))
 
 
-def read_version(spark: SparkSession, root: str, table: str, version: int | str | None) -> DataFrame | None:
-    return None if version is None else spark.read.parquet(version_path(root, table, version))
-
-
-# A layer is one full version now and then and, between those, only what each run brought, so a run costs
-# what its batch costs and not what the archive has grown to. Readers fold the last full version with the
-# batches after it. Successful runs are counted, so a run that fails leaves the full version to the next one.
+# A layer (``raw`` or ``targets``) is what each run brought and, now and then, a full version besides, so a run costs what its
+# batch costs and not what the archive has grown to. The manifest says of every try of a run whether it also wrote a
+# full version and which runs that one holds. Readers take the newest full version of a successful try and fold it with the
+# batch of every successful run that it does not hold, in whatever order the runs ended. Rows keep the runs of their first and
+# last sight, so a run that comes late finds its place also among the rows of a full version.
 FULL_EVERY = 42  # a week of runs four hours apart
 _FOLDS = {"raw": _fold_raw, "targets": _fold_targets}
+_ORDER = ("first_seq", "last_seq", "seq", "run_seq")
 
 
-def _since_full(good: list[int], full_every: int) -> list[int]:
-    """The last full version and the batches after it; ``good`` begins with the first run or with a full version."""
-    ordered = sorted(good)
-    return ordered[(len(ordered) - 1) // full_every * full_every :] if ordered else []
+def _ranges(runs: list[int]) -> list[tuple[int, int]]:
+    """Whole numbers as (first, last) of their gapless ranges."""
+    out: list[tuple[int, int]] = []
+    for r in sorted(set(runs)):
+        if out and out[-1][1] == r - 1:
+            out[-1] = (out[-1][0], r)
+        else:
+            out.append((r, r))
+    return out
 
 
-def _parts(spark: SparkSession, root: str, table: str, good: list[int], full_every: int) -> DataFrame | None:
-    recent = _since_full(good, full_every)
-    parts = [spark.read.parquet(version_path(root, table, v)).withColumn("seq", F.lit(v).cast("bigint")) for v in recent]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+def _versions(spark: SparkSession, root: str, layer: str) -> tuple[Row | None, list[Row]]:
+    """The newest full version, and the batches that it does not hold."""
+    good = read_runs(spark, root).filter("status = 'ok'").select("run_id", "attempt")
+    written = _read_or_empty(spark, f"{root.rstrip('/')}/manifest", MANIFEST).filter(F.col("layer") == layer).join(good, ["run_id", "attempt"])
+    full = written.filter("full").orderBy(F.desc("at"), F.desc("run_id")).limit(1).collect()
+    inside = F.lit(False)
+    for r in full[0].holds if full else []:
+        inside = inside | F.col("run_id").between(r.first, r.last)
+    rest = written.filter(~inside).select("run_id", "attempt").distinct().orderBy("run_id").collect()
+    return (full[0] if full else None), rest
 
 
-def read_layer(spark: SparkSession, root: str, table: str, good: list[int], full_every: int = FULL_EVERY) -> DataFrame | None:
-    """State of ``raw`` or ``targets`` after the given successful runs; None when there were none."""
-    parts = _parts(spark, root, table, good, full_every)
-    return None if parts is None else _FOLDS[table](parts)
+def _batch_path(root: str, layer: str, run_id: int, attempt: str) -> str:
+    return version_path(root, layer, f"{run_id}-{attempt}")
 
 
-def write_layer(rows: DataFrame, root: str, table: str, run_id: int, good: list[int], full_every: int = FULL_EVERY) -> None:
-    """Add the rows of a run (one per url). Every ``full_every``-th successful run writes the whole state instead."""
-    before = [v for v in good if v < run_id]
-    if len(before) % full_every == 0:
-        old = _parts(rows.sparkSession, root, table, before, full_every)
-        new = rows.withColumn("seq", F.lit(run_id).cast("bigint"))
-        rows = _FOLDS[table](new if old is None else old.unionByName(new))
-    write_version(rows, root, table, run_id, replay=True)
+def _full_path(root: str, layer: str, run_id: int, attempt: str) -> str:
+    return version_path(root, f"{layer}-full", f"{run_id}-{attempt}")
 
 
-def log_run(spark: SparkSession, root: str, row: tuple) -> None:
-    spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+def _parts(spark: SparkSession, root: str, layer: str, full: Row | None, rest: list[Row]) -> DataFrame | None:
+    paths = [_full_path(root, layer, full.run_id, full.attempt)] if full else []
+    paths += [_batch_path(root, layer, v.run_id, v.attempt) for v in rest]
+    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in paths]) if paths else None
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """The run log, empty before the first run."""
-    from pyspark.errors import AnalysisException
+def read_layer(spark: SparkSession, root: str, layer: str) -> DataFrame | None:
+    """State of ``raw`` or ``targets`` after all successful runs; None when there were none."""
+    parts = _parts(spark, root, layer, *_versions(spark, root, layer))
+    return None if parts is None else _FOLDS[layer](parts).drop(*_ORDER)
 
-    try:
-        return spark.read.schema(RUN).parquet(f"{root.rstrip('/')}/runs")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RUN)
 
+def write_layer(rows: DataFrame, root: str, layer: str, run: tuple[int, str], at: datetime, full_every: int = FULL_EVERY) -> None:
+    """Add the rows of a try of a run (one per url), and the whole state when ``full_every`` batches would have to be folded."""
+    spark, (run_id, attempt) = rows.sparkSession, run
+    me = F.lit(run_id).cast("bigint")
+    if layer == "raw":
+        new = rows.drop("seq").withColumns({"first_seq": me, "last_seq": me})
+    else:
+        new = rows.withColumns({"seq": me, "run_seq": F.when(F.col("last_run_id").isNotNull(), me)})
+    batch = _batch_path(root, layer, run_id, attempt)
+    new.write.mode("overwrite").parquet(batch)
+    full, rest = _versions(spark, root, layer)
+    rest = [v for v in rest if v.run_id != run_id]
+    held = [r for x in (full.holds if full else []) for r in range(x.first, x.last + 1)]
+    whole = len(rest) + 1 >= full_every and run_id not in held
+    if whole:
+        old, mine = _parts(spark, root, layer, full, rest), spark.read.parquet(batch)
+        _FOLDS[layer](mine if old is None else old.unionByName(mine)).write.mode("overwrite").parquet(_full_path(root, layer, run_id, attempt))
+    holds = _ranges([*held, *(v.run_id for v in rest), run_id]) if whole else []
+    entry = spark.createDataFrame([(layer, run_id, attempt, at, whole, holds)], MANIFEST)
+    entry.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
 
-def last_ok_run(runs: DataFrame) -> int | None:
-    return runs.filter("status = 'ok'").agg(F.max("run_id")).first()[0]
+
+def read_run(spark: SparkSession, root: str, layer: str, run_id: int) -> DataFrame | None:
+    """What the good try of a run brought."""
+    good = read_runs(spark, root).filter((F.col("status") == "ok") & (F.col("run_id") == run_id)).first()
+    return None if good is None else spark.read.parquet(_batch_path(root, layer, run_id, good.attempt)).drop(*_ORDER)
 
 
-def good_runs(runs: DataFrame, full_every: int = FULL_EVERY) -> list[int]:
-    """Successful runs since the last one that wrote full layers, at most ``full_every`` of them."""
-    ok = runs.filter("status = 'ok'").select("run_id").distinct()
-    n = ok.count()
-    return sorted(r.run_id for r in ok.orderBy(F.desc("run_id")).limit(n - max(n - 1, 0) // full_every * full_every).collect())
+def last_ok_run(runs: DataFrame) -> int | None:
+    return runs.filter("status = 'ok'").agg(F.max("run_id")).first()[0]
 
 
 def freeze(snapshot: DataFrame, path: str) -> None:

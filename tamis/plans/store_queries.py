@@ -260,10 +260,8 @@ def _event_stream(spark, sf) -> DataFrame:
 @register("stream_raw_fold", _RAW_SQL)
 def stream_raw_fold(spark, sf):
     root = scratch_path(spark, "stream")
-    query = jobs.fold_raw_stream(_sightings(_event_stream(spark, sf)), root, f"{root}/checkpoint", "seen_at", "ingest_seq")
-    query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress) if query.recentProgress else 0
-    return _show_raw(jobs.read_raw(spark, root, last))
+    jobs.fold_raw_stream(_sightings(_event_stream(spark, sf)), root, f"{root}/checkpoint", "seen_at", "ingest_seq").awaitTermination()
+    return _show_raw(jobs.read_raw(spark, root))
 
 
 @register("stream_first_seen", ORACLES["first_seen"])

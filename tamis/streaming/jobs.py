@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,21 +40,24 @@ def every_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], check
 
 
 def fold_raw_stream(stream: DataFrame, root: str, checkpoint: str, seen_at: str, order: str) -> StreamingQuery:
-    """Keep the raw layer: each batch adds its rows, folded to one per url (see :func:`store.write_layer`).
+    """Keep the raw layer: each batch is a run that adds its rows, folded to one per url (see :func:`store.write_layer`).
 
-    A replayed batch writes the same version again.
+    A replayed batch is another try of the same run and replaces what the first one wrote.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, datetime.now(timezone.utc).replace(tzinfo=None)
+        run = store.start_run(spark, root, batch_id + 1, now)
         rows = store.raw_rows(batch, F.col(seen_at), order, skip=(seen_at,))
-        store.write_layer(store.fold_raw(None, rows), root, "raw", batch_id + 1, list(range(1, batch_id + 1)))
+        store.write_layer(store.fold_raw(None, rows), root, "raw", run, now)
+        store.end_run(spark, root, run, now, "ok")
 
     return every_batch(stream, work, checkpoint)
 
 
-def read_raw(spark: SparkSession, root: str, last_batch: int) -> DataFrame | None:
-    """The raw layer after a batch of :func:`fold_raw_stream`."""
-    return store.read_layer(spark, root, "raw", list(range(1, last_batch + 2)))
+def read_raw(spark: SparkSession, root: str) -> DataFrame | None:
+    """The raw layer as the batches of :func:`fold_raw_stream` have left it."""
+    return store.read_layer(spark, root, "raw")
 
 
 def first_seen_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -95,6 +95,20 @@ def test_failing_source_is_skipped(spark, tmp_path):
     assert union_sources({"bad": lambda: spark.read.parquet(str(tmp_path / "none"))})[0] is None
 
 
+def test_sources_are_read_once_and_leave_nothing_when_they_break(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    half = lambda: spark.range(100).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("cut off")).cast("long")).alias("id"))
+    df, report = union_sources({"whole": lambda: spark.range(50).mapInArrow(counted, "id long"), "half": half, "none": lambda: spark.range(0)})
+    assert df.count() == 50 and reads.value == 50
+    assert report["whole"] == 50 and "cut off" in report["half"] and report["none"] == 0
+
+
 def test_gold_files(spark, tmp_path):
     path = tmp_path / "gold.csv"
     path.write_text("﻿url,ds_role,roles,industries,industry_other,unsure,comment\nu1,1,a | b,fintech,,,\nu2,0,,,,1,x\n", encoding="utf-8")
@@ -140,25 +154,54 @@ def test_snapshot_and_archive(spark):
     assert archive.select(sorted(archive.columns)).schema.simpleString() == spark.createDataFrame([], TARGET).select(sorted(archive.columns)).schema.simpleString()
 
 
-@pytest.mark.parametrize("full_every", [1, 2, 3, 100])
-def test_layers_equal_one_fold(spark, tmp_path, full_every):
+def _write_run(spark, root, run, rows, targets, when, full_every, ends="ok"):
+    attempt = store.start_run(spark, root, run, when)
+    store.write_layer(store.fold_raw(None, rows), root, "raw", attempt, when, full_every)
+    store.write_layer(targets, root, "targets", attempt, when, full_every)
+    if ends:
+        store.end_run(spark, root, attempt, when, ends)
+
+
+@pytest.mark.parametrize(("full_every", "order"), [(1, (1, 2, 3, 4, 5)), (3, (1, 3, 4, 5, 2)), (2, (5, 4, 3, 2, 1))])
+def test_layers_equal_one_fold_whatever_order_runs_end_in(spark, tmp_path, full_every, order):
     root, schema = str(tmp_path / "s"), "url string, source string, title string, company string, ingest_seq long"
-    want = want_t = None
-    good = []
+    batches, want, want_t = {}, None, None
     for run in range(1, 6):
         rows = spark.createDataFrame([(f"u{k}", f"s{run}", f"t{run}", None, k) for k in range(run, run + 3)], schema)
         raw = store.raw_rows(rows, lit_ts(f"2026-10-0{run}"))
-        want = store.fold_raw(want, raw)
-        targets = _targets(spark, [f"u{run}", f"u{run + 1}"], None if run == 4 else run)
-        want_t = store.fold_targets(want_t, targets)
-        if run == 3:  # this run failed after writing
-            store.write_layer(store.fold_raw(None, store.raw_rows(rows.withColumn("title", F.lit("bad")), lit_ts("2026-11-01"))), root, "raw", 30, good, full_every)
-        store.write_layer(store.fold_raw(None, raw), root, "raw", run, good, full_every)
-        store.write_layer(targets, root, "targets", run, good, full_every)
-        good.append(run)
-    assert sorted(store.read_layer(spark, root, "raw", good, full_every).collect()) == sorted(want.collect())
-    got_t = store.read_layer(spark, root, "targets", good, full_every).select("url", "last_run_id").collect()
-    assert sorted(got_t) == sorted(want_t.select("url", "last_run_id").collect())
+        targets = _targets(spark, [f"u{run}", f"u{run + 1}"], None if run == 4 else run).withColumn("title", F.lit(f"t{run}"))
+        batches[run] = (raw, targets)
+        want, want_t = store.fold_raw(want, raw), store.fold_targets(want_t, targets)
+    for n, run in enumerate(order):
+        when = ts(f"2026-10-1{n}")
+        if n == 2:  # one try fails after writing, one never ends
+            bad = batches[run][0].withColumn("title", F.lit("bad"))
+            _write_run(spark, root, 30, bad, batches[run][1], when, full_every, "failed")
+            _write_run(spark, root, run, bad, batches[run][1], when, full_every, None)
+        _write_run(spark, root, run, *batches[run], when, full_every)
+        if n == 3:  # a run that is told twice
+            _write_run(spark, root, run, *batches[run], when, full_every)
+    assert sorted(store.read_layer(spark, root, "raw").collect()) == sorted(want.collect())
+    pick = lambda df: sorted(tuple(str(v) for v in r) for r in df.select("url", "title", "last_run_id").collect())
+    assert pick(store.read_layer(spark, root, "targets")) == pick(want_t)
+    assert pick(store.read_run(spark, root, "targets", 2)) == pick(batches[2][1])
+
+
+def test_run_log_shows_how_runs_ended(spark, tmp_path):
+    root = str(tmp_path / "log")
+    assert store.read_runs(spark, root).collect() == [] and store.next_run_id(store.read_runs(spark, root)) == 1
+    begin = lambda run, day: store.start_run(spark, root, run, ts(f"2026-10-{day:02}"))
+    store.end_run(spark, root, begin(1, 1), ts("2026-10-01 01:00:00"), "ok", (5, 4, 3))
+    begin(2, 2)
+    store.end_run(spark, root, begin(3, 3), ts("2026-10-03 01:00:00"), "failed")
+    store.end_run(spark, root, begin(4, 4), ts("2026-10-04 01:00:00"), "failed")
+    store.end_run(spark, root, begin(4, 5), ts("2026-10-05 01:00:00"), "ok", (1, 1, 0))
+    begin(1, 6)  # a later try that has not ended hides nothing
+    begin(5, 9)
+    runs = store.audit_runs(store.read_runs(spark, root), lit_ts("2026-10-09 06:00:00"), F.expr("interval 1 day"))
+    got = {r.run_id: (r.status, r.n_raw, r.n_target, r.tries) for r in runs.collect()}
+    assert got == {1: ("ok", 5, 3, 2), 2: ("lost", None, None, 1), 3: ("failed", None, None, 1), 4: ("ok", 1, 0, 2), 5: ("started", None, None, 1)}
+    assert store.last_ok_run(runs) == 4 and store.next_run_id(runs) == 6
 
 
 def _landed(spark, rows):
