@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import WORD, quote
 from ..functions.matching import find_excluded_roles, find_keywords, find_roles, industry_text
 from ..functions.postings import search_text
 from ..functions.text import blanks_to_null, normalize_location, normalize_text, normalize_work_format
 from ..rules import RuleSet
-from ..rules.fixed import NAIVE_TITLE_PARTS, NAIVE_TITLE_WORDS
+from ..rules.fixed import NAIVE_TITLE
 
 
 def normalize_postings(df: DataFrame) -> DataFrame:
@@ -69,10 +68,8 @@ def classify(df: DataFrame, rules: RuleSet, wide: bool = False) -> DataFrame:
 
 def naive_title_match(title: Column | str) -> Column:
     """Baseline: a title with one of a few telling words."""
-    words = "|".join(map(quote, NAIVE_TITLE_WORDS))
-    parts = "|".join(map(quote, NAIVE_TITLE_PARTS))
     t = F.col(title) if isinstance(title, str) else title
-    return F.rlike(F.coalesce(t, F.lit("")), F.lit(f"(?<!{WORD})(?:{words})(?!{WORD})|{parts}"))
+    return F.rlike(F.coalesce(t, F.lit("")), F.lit("(?U)" + NAIVE_TITLE))
 
 
 def predict(snapshot: DataFrame, rules: RuleSet) -> DataFrame:

@@ -41,15 +41,15 @@ def registry() -> tuple[dict, dict, Callable]:
 
 
 def title_of(text: str = "text"):
-    """First six words of a text."""
-    return F.array_join(F.slice(F.split(F.col(text), r"\s+"), 1, 6), " ")
+    """First line of a text, as a whole."""
+    return F.substring_index(F.col(text), "\n", 1)
 
 
-TITLE_SQL = "array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 6), ' ')"
+TITLE_SQL = "split_part(text, chr(10), 1)"
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as postings: language is the company, the first words are the title."""
+    """Documents as postings: language is the company, the first line is the title."""
     none = F.lit(None).cast("double")
     return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("url"),

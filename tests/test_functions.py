@@ -211,5 +211,5 @@ def test_rates_and_roubles(spark):
         [(100_000.0, "RUB", "month"), (1_200_000.0, None, "year"), (1000.0, "XXX", "hour"), (1000.0, "USD", None), (2.5, None, None), (None, "USD", "year")],
         "salary_min double, currency string, salary_period string",
     ).withColumn("salary_max", F.lit(None).cast("double"))
-    got = [r.salary_min_rub for r in money.add_rub_salaries(rows, rates).collect()]
+    got = [r.salary_min_rub for r in money.add_rub_salaries(rows.withColumn("at", F.monotonically_increasing_id()), rates).orderBy("at").collect()]
     assert got == [100_000, 100_000, 168_000, 90_000, 2, None]
