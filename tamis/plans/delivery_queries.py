@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.postings import caption, posting_block
 from ..operators import delivery as V
+from ..operators.subscribers import subscriber_state as subscriber_state_of
 from ..rules.fixed import ROLE_LABELS
 from ..session import materialize, scratch_path
 from ..streaming import jobs
@@ -228,12 +229,12 @@ def _show_state(state: DataFrame) -> DataFrame:
 
 @register("subscriber_state", _STATE)
 def subscriber_state(spark, sf):
-    return _show_state(V.subscriber_state(_commands(table(spark, sf, "events"))))
+    return _show_state(subscriber_state_of(_commands(table(spark, sf, "events"))))
 
 
 @register("history_reset", f"SELECT chat_id, reset FROM ({_STATE}) WHERE reset IS NOT NULL")
 def history_reset(spark, sf):
-    return _show_state(V.subscriber_state(_commands(table(spark, sf, "events")))).select("chat_id", "reset").filter("reset is not null")
+    return _show_state(subscriber_state_of(_commands(table(spark, sf, "events")))).select("chat_id", "reset").filter("reset is not null")
 
 
 @register("stream_subscriber_state", _STATE)

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators import store
+from ..operators import store, subscribers
 from ..plans.batch import run_batch
 from ..rules import RuleSet
-from ..schemas import SUBSCRIBER
 
 
 def read_files(spark: SparkSession, folder: str, schema: str | StructType, name_filter: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -106,49 +103,20 @@ def recurring_runs(stream: DataFrame, root: str, checkpoint: str, now: Callable[
 
 # ---- subscribers ------------------------------------------------------------------------------------------
 
-_STATE = "industries array<string>, roles array<string>, status string, reset_at timestamp, created_at timestamp, updated_at timestamp"
-
-
-def _apply_commands(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Commands of one chat in update order, folded into its state."""
-    ind, role, status, reset_at, created, updated = state.get if state.exists else ([], [], None, None, None, None)
-    chosen = {"ind": set(ind), "role": set(role)}
-    # chunks of one chat arrive in no order; together they are at most this micro-batch
-    log = pd.concat(list(batches)).sort_values("update_id")[["kind", "ts", "filter", "value"]]
-    for kind, ts, name, value in log.itertuples(index=False):
-        if kind == "start" and status != "active":
-            chosen, status, updated = {"ind": set(), "role": set()}, "active", ts
-            created = ts if created is None else created
-        elif kind == "stop" and status is not None:
-            status, updated = "stopped", ts
-        elif kind in ("toggle", "reset") and status == "active":
-            chosen[name] = chosen[name] ^ {value} if kind == "toggle" else set()
-            reset_at = updated = ts
-    if status is None:
-        return
-    ind, role = sorted(chosen["ind"]), sorted(chosen["role"])
-    plain = [None if t is None else pd.Timestamp(t).to_pydatetime() for t in (reset_at, created, updated)]
-    state.update((ind, role, status, *plain))
-    yield pd.DataFrame({
-        "chat_id": [key[0]], "industries": [ind], "roles": [role], "status": [status],
-        "history_reset_at": [plain[0]], "created_at": [plain[1]], "updated_at": [plain[2]],
-    })
-
-
 def subscriber_stream(commands: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep subscriber states current; each batch appends the states it changed."""
-    states = commands.groupBy("chat_id").applyInPandasWithState(
-        _apply_commands, SUBSCRIBER.replace("timestamp_ntz", "timestamp"), _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    """Keep what each batch of commands does to each chat as one segment (see :mod:`operators.subscribers`).
+
+    Nothing is held between batches, and a chat with most of a batch is folded in ranges of it. A replayed batch
+    writes its segments again.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        store.write_version(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), out, "subscribers", batch_id, replay=True)
+        whole = subscribers.composed(subscribers.segments(batch))
+        store.write_version(whole.withColumn("part", F.lit(batch_id).cast("bigint")), out, "segments", batch_id, replay=True)
 
-    return every_batch(states, work, checkpoint, mode="update")
+    return every_batch(commands, work, checkpoint)
 
 
 def read_subscribers(spark: SparkSession, out: str) -> DataFrame:
-    """Latest state of every chat."""
-    rows = spark.read.parquet(f"{out}/subscribers").drop("version")
-    fields: list[Column] = [F.col(c) for c in rows.columns if c != "batch"]
-    return rows.groupBy(F.col("chat_id").alias("_k")).agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("s.*")
+    """State of every chat after all batches."""
+    return subscribers.states(subscribers.composed(spark.read.parquet(f"{out}/segments").select("chat_id", "part", "segment")))

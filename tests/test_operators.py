@@ -1,10 +1,11 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.operators import backfill, checks, delivery, evaluation, pairs, sampling, store
+from tamis.operators import backfill, checks, delivery, evaluation, pairs, sampling, store, subscribers
 from tamis.operators import duplicates as D
 from tamis.operators.classify import classify, normalize_postings
 from tamis.plans import batch
@@ -332,7 +333,36 @@ STATES = {
 
 def test_subscriber_state(spark):
     log = spark.createDataFrame([(u, c, ts(t), *r) for u, c, t, *r in COMMANDS], COMMAND)
-    assert {r.chat_id: tuple(r)[1:] for r in delivery.subscriber_state(log).collect()} == STATES
+    for width in (2, 5, 4096):
+        assert {r.chat_id: tuple(r)[1:] for r in subscribers.subscriber_state(log, width).collect()} == STATES
+
+
+def _one_command_at_a_time(log):
+    chats = {}
+    for _, chat, when, kind, name, value in sorted(log):
+        s = chats.setdefault(chat, {"ind": set(), "role": set(), "status": None, "reset": None, "created": None, "updated": None})
+        if kind == "start" and s["status"] != "active":
+            s |= {"ind": set(), "role": set(), "status": "active", "updated": when, "created": s["created"] or when}
+        elif kind == "stop" and s["status"]:
+            s |= {"status": "stopped", "updated": when}
+        elif kind in ("toggle", "reset") and s["status"] == "active":
+            s |= {name: s[name] ^ {value} if kind == "toggle" else set(), "reset": when, "updated": when}
+    return {c: (sorted(s["ind"]), sorted(s["role"]), s["status"], s["reset"], s["created"], s["updated"]) for c, s in chats.items() if s["status"]}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_chat_with_most_commands_is_folded_in_ranges(spark, seed):
+    rng = random.Random(seed)
+    log = []
+    for i in range(600):
+        kind = rng.choices(["toggle", "reset", "start", "stop", "confirm"], [60, 5, 6, 6, 3])[0]
+        name = rng.choice(["ind", "role"]) if kind in ("toggle", "reset") else None
+        log.append((i * 3 + 1, 1 if rng.random() < 0.6 else rng.randint(2, 9), ts("2026-01-01") + dt.timedelta(minutes=i), kind, name, rng.choice("abcd") if kind == "toggle" else None))
+    frame = spark.createDataFrame(rng.sample(log, len(log)), COMMAND).repartition(3)
+    for width in (4, 64):
+        assert {r.chat_id: tuple(r)[1:] for r in subscribers.subscriber_state(frame, width).collect()} == _one_command_at_a_time(log)
+    most = subscribers.segments(frame, 64).groupBy("chat_id").count().agg(F.max("count")).first()[0]
+    assert most > 20  # its commands do not meet in one task
 
 
 def test_subscriber_stream_over_batches(spark, tmp_path):
