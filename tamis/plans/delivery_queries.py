@@ -158,9 +158,7 @@ def digest_messages(spark, sf):
         SELECT chat_id, no AS message_no, max_by(len, k) AS chars FROM m GROUP BY chat_id, no""",
 )
 def digest_catalogue(spark, sf):
-    p, s = _postings(spark, sf), _subscribers(spark, sf)
-    active = s.filter("status = 'active'")
-    out = V.pack_messages(V.digest_items(V.fan_out(p, active, KNOWN), p, active, None))
+    out = V.catalogue_messages(_postings(spark, sf), _subscribers(spark, sf), KNOWN)
     return out.select("chat_id", "message_no", F.length("text").cast("bigint").alias("chars"))
 
 

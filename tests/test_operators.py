@@ -293,6 +293,32 @@ def test_message_size(spark):
     assert [r.text[:8] for r in sorted((r for r in got if r.chat_id == 2), key=lambda r: r.message_no)] == ["intro\n\n1", "2. yyyyy"]
 
 
+def _one_entry_at_a_time(intro, bodies, limit):
+    text, out = intro, []
+    for k, body in enumerate(bodies, 1):
+        entry = f"{k}. {body}"
+        if len(text) + 2 + len(entry) > limit:
+            out.append(text)
+            text = entry
+        else:
+            text += "\n\n" + entry
+    return [*out, text]
+
+
+def test_a_chat_with_most_entries_is_packed_in_ranges(spark):
+    rng = random.Random(4)
+    chats = {1: 900, 2: 1, 3: 300, **{i: 20 for i in range(4, 24)}}
+    bodies = {c: ["x" * rng.choice([0, 1, 3, 8, 20, 90]) for _ in range(n)] for c, n in chats.items()}
+    rows = [(c, f"{c}:" + "i" * (c % 7) * 9, b, i) for c, bs in bodies.items() for i, b in enumerate(bs)]
+    items = spark.createDataFrame(rng.sample(rows, len(rows)), "chat_id long, intro string, body string, place long").repartition(3)
+    for size in (18, 64, 2000):
+        got = delivery.pack_messages(items, 80, size=size).collect()
+        for c, bs in bodies.items():
+            intro = f"{c}:" + "i" * (c % 7) * 9
+            assert [r.text for r in sorted((r for r in got if r.chat_id == c), key=lambda r: r.message_no)] == _one_entry_at_a_time(intro, bs, 80)
+            assert sorted(r.message_no for r in got if r.chat_id == c) == list(range(1, 1 + sum(r.chat_id == c for r in got)))
+
+
 def test_top_skills(spark):
     archive = spark.createDataFrame(
         [("a", ["python", "sql"], {"fintech": ["банк"]}, ["data_scientist"]), ("b", ["python"], {"it": ["it"]}, ["ml_engineer"])],
