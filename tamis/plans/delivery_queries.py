@@ -261,7 +261,7 @@ def deliver_run(spark, sf):
     """A whole delivery: pack the messages of every chat and count the entries they hold."""
     p, s = _postings(spark, sf), _subscribers(spark, sf)
     seen = materialize(V.seen_urls(_journal(spark, sf), s), "seen")
-    chosen = V.drop_seen(V.fan_out(p, s, KNOWN), V.posting_urls(p), seen)
+    chosen = materialize(V.drop_seen(V.fan_out(p, s, KNOWN), V.posting_urls(p), seen), "chosen")
     messages = V.pack_messages(V.digest_items(chosen, p, s, seen))
     entries = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)\. \*"), F.lit(1)))
     top = F.array_max(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)\. \*"), F.lit(1)), lambda n: n.cast("bigint")))
