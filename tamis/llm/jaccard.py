@@ -1,7 +1,7 @@
 """N-gram Jaccard join: all links of similarity ``percent`` or more, as components.
 
 1. Every text becomes the set of its 5-word shingles as 64-bit hashes. Texts with one set form a class, named by a
-   128-bit digest of the set; from here on only classes count, so copies cost nothing more.
+   digest of the set; from here on only classes count, so copies cost nothing more.
 2. Shingles are dealt to buckets by hash and counted over all classes. Those of one class alone cannot link anything and
    stay behind; the rest go back to their class. Shingles that a noticeable part of all documents holds are found in
    step 1 (``HOT_SHARE``); they rank last without being counted, so that none of them fills a bucket.
@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import release, slices
-from .components import components
+from ..operators.graph import components as joined
+from .common import join_hot, release, slices
 
 WIDTH = 5
 PERCENT = 80
@@ -43,6 +44,7 @@ HOT_LEVEL = 255
 RANGE_BITS = 6
 RANGES = 1 << RANGE_BITS
 CACHED_WORDS = 200_000
+NAME = 10  # bytes of a class's digest, which travels with every bucket that the class has shingles in
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -76,11 +78,11 @@ def shingles(text: str | None, ids: WordIds, width: int = WIDTH) -> np.ndarray:
 
 
 def class_of(h: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+    return hashlib.blake2b(h.tobytes(), digest_size=NAME).digest() if len(h) else None
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, cls); besides, rows with ``hot``: hashes and counts that are frequent in a batch."""
+    """Per row (doc_id, print, n, cls); besides, rows with ``hot``: hashes and counts that are frequent in a batch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +96,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 value, n = np.unique(np.concatenate(distinct), return_counts=True)
                 often = n >= max(4, HOT_SHARE * len(distinct))
                 hot = value[often].tobytes() + n[often].astype(np.uint64).tobytes()
-            columns = [b["doc_id"], pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.binary()), pa.nulls(len(b), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "hot"])
+            columns = [b["doc_id"], b["print"], pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.binary()), pa.nulls(len(b), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n", "cls", "hot"])
             if hot:
-                columns = [pa.nulls(1, b["doc_id"].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([hot], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "hot"])
+                columns = [pa.nulls(1, b["doc_id"].type), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([hot], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n", "cls", "hot"])
 
-    return docs.mapInArrow(described, f"doc_id {kind}, n long, cls binary, hot binary")
+    return docs.mapInArrow(described, f"doc_id {kind}, print string, n long, cls binary, hot binary")
 
 
 def hot_shingles(described: DataFrame, n_classes: int) -> np.ndarray:
@@ -117,28 +119,36 @@ def hot_shingles(described: DataFrame, n_classes: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def payload(names: list[bytes], sizes: list[int], parts: list[np.ndarray]) -> bytes:
-    """Classes with their hashes, packed; ``unpacked`` reads it."""
+def payload(names: list[bytes], parts: list[np.ndarray]) -> bytes:
+    """Classes with their hashes, packed; ``unpacked`` reads it. A class with very many hashes stands there several times."""
+    if max(map(len, parts)) > 0xFFFF:
+        cut = [(n, p[i : i + 0xFFFF]) for n, p in zip(names, parts, strict=True) for i in range(0, len(p), 0xFFFF)]
+        names, parts = [n for n, _ in cut], [p for _, p in cut]
     head = np.array([len(names)], np.int64).tobytes() + b"".join(names)
-    return head + np.array([sizes, [len(x) for x in parts]], np.uint32).tobytes() + np.concatenate(parts).tobytes()
+    return head + np.array([len(x) for x in parts], np.uint16).tobytes() + np.concatenate(parts).tobytes()
+
+
+def home(names: np.ndarray, groups: int) -> np.ndarray:
+    """The group that each class is dealt to, by its digest."""
+    head = np.frombuffer(names.tobytes(), np.uint8).reshape(-1, NAME)[:, :8]
+    return (np.ascontiguousarray(head).view(np.uint64).ravel() % np.uint64(groups)).astype(np.int64)
 
 
 def dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, payload): the shingles of each batch's classes, packed by bucket.
 
-    A payload is the number of classes, then per class its digest, size and number of shingles here, then all these
-    shingles. Hot shingles go to the bucket of their class, with a negative number.
+    A payload is the number of classes, then per class its digest and number of shingles here, then all these
+    shingles; sizes stay behind. Hot shingles go to the bucket of their class, with a negative number.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for b in slices(batches, 2000):
-            out: dict[int, tuple[list, list, list]] = {}
+            out: dict[int, tuple[list, list]] = {}
 
-            def add(bucket: int, name: bytes, n: int, h: np.ndarray) -> None:
-                names, sizes, parts = out.setdefault(bucket, ([], [], []))
+            def add(bucket: int, name: bytes, h: np.ndarray) -> None:
+                names, parts = out.setdefault(bucket, ([], []))
                 names.append(name)
-                sizes.append(n)
                 parts.append(h)
 
             seen = set()
@@ -148,35 +158,32 @@ def dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 if name is None or name in seen:
                     continue
                 seen.add(name)
-                n = len(h)
                 if len(hot):
                     often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                     if often.any():
-                        add(-1 - int.from_bytes(name[:4], "little") % buckets, name, n, h[often])
+                        add(-1 - int.from_bytes(name[:4], "little") % buckets, name, h[often])
                         h = h[~often]
                 # sorted hashes: equal buckets lie side by side
                 at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
                 for part in np.split(h, cuts) if len(h) else ():
-                    add(int((int(part[0]) >> 32) * buckets >> 32), name, n, part)
+                    add(int((int(part[0]) >> 32) * buckets >> 32), name, part)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([payload(*x) for x in out.values()], pa.binary())], ["bucket", "payload"])
 
     return docs.select("text").mapInArrow(packed, "bucket int, payload binary")
 
 
-def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct classes (16 bytes) with their sizes; then the class number and hash of every entry."""
-    names, sizes, counts, tokens = [], [], [], []
+def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct classes (digests); then the class number and hash of every entry."""
+    names, counts, tokens = [], [], []
     for p in payloads:
         blob = p.as_buffer()
         k = int(np.frombuffer(blob, np.int64, 1)[0])
-        names.append(np.frombuffer(blob, "V16", k, 8))
-        both = np.frombuffer(blob, np.uint32, 2 * k, 8 + 16 * k)
-        sizes.append(both[:k])
-        counts.append(both[k:])
-        tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + 24 * k))
-    distinct, first, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-    return distinct, np.concatenate(sizes)[first], np.repeat(back.astype(np.int32), np.concatenate(counts)), np.concatenate(tokens)
+        names.append(np.frombuffer(blob, f"V{NAME}", k, 8))
+        counts.append(np.frombuffer(blob, np.uint16, k, 8 + NAME * k))
+        tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + (NAME + 2) * k))
+    distinct, back = np.unique(np.concatenate(names), return_inverse=True)
+    return distinct, np.repeat(back.astype(np.int32), np.concatenate(counts)), np.concatenate(tokens)
 
 
 def met_again(values: np.ndarray) -> np.ndarray:
@@ -197,7 +204,7 @@ def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
         release()
-        names, sizes, owner, token = unpacked(group["payload"])
+        names, owner, token = unpacked(group["payload"])
         if key[0].as_py() >= 0:
             again = met_again(token)
             owner, token = owner[again], token[again]
@@ -214,26 +221,50 @@ def shared_shingles(packed: DataFrame, groups: int) -> DataFrame:
             level = np.repeat(np.minimum(8 * np.log2(df), HOT_LEVEL - 1).astype(np.uint8), df)
             many = np.repeat(df > 1, df)
             owner, token, level = owner[many], token[many], level[many]
-        to = (np.frombuffer(names.tobytes(), np.uint64)[::2] % np.uint64(groups)).astype(np.int64)
+        to = home(names, groups)
         order = np.lexsort((owner, to[owner]))
         owner, token, level = owner[order], token[order], level[order]
         rows = []
         for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(to[owner])) + 1) if len(owner) else ():
             held, many = np.unique(owner[part], return_counts=True)
             parts = np.split(token[part], np.cumsum(many)[:-1])
-            rows.append((int(to[held[0]]), payload([names[i].tobytes() for i in held], sizes[held].tolist(), parts), level[part].tobytes()))
+            rows.append((int(to[held[0]]), payload([names[i].tobytes() for i in held], parts), level[part].tobytes()))
         kinds = (pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["group", "payload", "levels"])
 
     return packed.groupBy("bucket").applyInArrow(counted, "group int, payload binary, levels binary")
 
 
+def class_sizes(classes: DataFrame, groups: int) -> DataFrame:
+    """(group, payload, levels): the sizes of classes, dealt as their shingles are; ``levels`` is null."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.frombuffer(b"".join(c.as_py() for c in b["cls"]), f"V{NAME}")
+            size, to = b["n"].to_numpy().astype(np.uint32), home(names, groups)
+            rows = [(int(g), names[to == g].tobytes() + size[to == g].tobytes()) for g in np.unique(to)]
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "payload", "levels"])
+
+    return classes.select("cls", "n").mapInArrow(packed, "group int, payload binary, levels binary")
+
+
 def features(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cls, n, tokens rare first, sig): classes that share enough shingles to link at all."""
 
     def ordered(key: tuple, group: pa.Table) -> pa.Table:
         release()
-        names, sizes, owner, token = unpacked(group["payload"])
+        told = group["levels"].is_null()
+        size_of = {}
+        for p in group.filter(told)["payload"]:
+            blob = p.as_buffer()
+            k = len(blob) // (NAME + 4)
+            size_of |= zip(map(bytes, np.frombuffer(blob, f"V{NAME}", k)), np.frombuffer(blob, np.uint32, k, NAME * k).tolist(), strict=True)
+        group = group.filter(pc.invert(told))
+        if not len(group):
+            return pa.table({"cls": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "tokens": pa.array([], pa.list_(pa.int64())), "sig": pa.array([], pa.list_(pa.int32()))})
+        names, owner, token = unpacked(group["payload"])
+        sizes = np.array([size_of[n] for n in map(bytes, names)], np.int64)
         level = np.frombuffer(b"".join(x.as_py() for x in group["levels"]), np.uint8)
         able = 100 * np.bincount(owner, minlength=len(names)) >= percent * sizes
         keep = able[owner]
@@ -299,6 +330,11 @@ def links(feats: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     return whole.withColumn("o", overlap).where(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of a link (a, b)."""
+    return joined(links).withColumnRenamed("component", "label")
+
+
 def class_components(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of the classes that link with others."""
     entries = materialize(prefixes(feats, percent), "jaccard-entries")
@@ -323,18 +359,25 @@ def class_components(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
     return components(linked.union(links(feats, rest, percent)))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def labelled(rows: DataFrame, percent: int = PERCENT, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print, n, cls) of every row of (doc_id, text, print), and (cls, label, rep) of every class."""
     described = materialize(sets_of(rows), "jaccard-sets")
-    sets = described.where("hot is null").select("doc_id", "n", "cls")
+    sets = described.where("hot is null").select("doc_id", "print", "n", "cls")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total = classes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     hot = hot_shingles(described, total["k"])
     buckets = max(1, -(-(total["n"] or 0) // bucket_tokens))
-    feats = materialize(features(shared_shingles(dealt(rows, buckets, hot), buckets), percent), "jaccard-features")
+    parts = shared_shingles(dealt(rows, buckets, hot), buckets).unionByName(class_sizes(classes, buckets))
+    feats = materialize(features(parts, percent), "jaccard-features")
     label = class_components(feats, percent)
     named = classes.select("cls", "rep").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return sets, named
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("print"))
+    sets, named = labelled(rows, percent, bucket_tokens)
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = named.join(ids, "label").select("cls", "component_id")
     out = sets.join(found, "cls", "left")
@@ -342,17 +385,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, one stays.
+    """The rows of ``docs`` of which no other row of their component has a smaller id (or, with an equal id, a smaller digest).
 
-    Rows with a null id stay.
+    Of rows with one id and one text, one stays. Rows with a null id and rows without words stay.
     """
-    found = materialize(jaccard_components(docs), "jaccard-found")
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeats = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    if repeats.isEmpty():
-        return kept
+    key = F.md5(F.col("text").cast("string"))
+    sets, named = labelled(docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("print")))
+    rows = sets.where("cls is not null and doc_id is not null").join(named.select("cls", "label"), "cls")
+    rows = materialize(rows.groupBy("label", "doc_id", "print").agg(F.count("*").alias("copies")), "jaccard-found")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("members"))
+    gone = join_hot(rows, first, "label", "members").where(F.struct("doc_id", "print") != F.col("first")).select("doc_id", "print")
+    marked = docs.withColumn("_print", key)
+    on = lambda df: [marked["doc_id"] == df["doc_id"], marked["_print"] == df["print"]]
+    gone = materialize(gone.distinct(), "jaccard-gone")
+    kept = marked.join(gone, on(gone), "left_anti")
+    again = rows.where("copies > 1").select(F.col("doc_id").alias("_id"), F.col("print").alias("_again"))
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    met = [kept["doc_id"] == again["_id"], kept["_print"] == again["_again"]]
+    twice = kept.join(again, met, "left_semi")
     order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    again = kept.join(repeats.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    whole = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return kept.join(repeats.select("doc_id"), "doc_id", "left_anti").select(docs.columns).union(whole)
+    whole = twice.groupBy("doc_id", "_print").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return kept.join(again, met, "left_anti").select(docs.columns).union(whole)

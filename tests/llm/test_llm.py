@@ -90,6 +90,15 @@ def test_one_of_each_keeps_one_row_per_group(spark, rows):
     assert sorted(i for i in ids if i is not None) == sorted(first)
 
 
+def test_one_of_each_tells_texts_under_one_id_apart(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (3, "quite another text of some words here"), (3, "quite another text of some words here"), (None, " ".join(base)), (4, None), (4, " ")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, " ".join(base)), (2, other), (3, rows[3][1]), (None, " ".join(base)), (4, None), (4, " ")], key=str)
+
+
 def test_near_copies_emit_few_pairs(spark):
     base = [f"w{i}" for i in range(300)]
     texts = []
