@@ -1,14 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample of the vectors gives a graph of nearest neighbours, which is cut into parts of equal size: each cut
+Nearness is the inner product of the vectors as they are. A vector with one more component, which makes all of them as long
+as the longest, has the same nearest ones by angle, so vectors are placed by these lifted ones, while the nearest of a
+query do not depend on its length and it is routed by its direction.
+
+A bounded sample of the vectors gives a graph of nearest lifted neighbours, which is cut into parts of equal size: each cut
 halves a part at the median of its slowest-mixing direction (power iteration on the graph), then swaps vertices across
-the cut while that saves edges. A small network learns, from a vector, how its neighbours spread over the parts. It then
-places every vector of the table into its most probable part and routes every query to its most probable parts, in which
-all vectors are ranked by the exact measure. How many parts it takes for a recall of ``RECALL`` is measured on
-``PROBE_QUERIES`` further sample vectors.
+the cut while that saves edges. One small network learns, from a lifted vector, how its neighbours spread over the parts, and
+places every vector of the table into its most probable part. Another learns, from a direction, in which parts the vectors of
+largest inner product lie, and routes every query to its most probable parts, in which all vectors are ranked by the exact
+measure. How many parts it takes for a recall of ``RECALL`` is measured, by inner products, on ``PROBE_QUERIES`` further
+sample vectors.
+
+Every part first gives each query a few of its best, some four times ``k`` over all parts, and says how good the next one would be.
+Only parts whose next one reaches the query's k-th best so far are asked for the rest.
 
 A part is dealt to several tasks when it holds more than ``CHUNK`` vectors or queries, so that copies of one vector
-never meet in one task. Parts are as many as needed for ``PART_ROWS`` vectors each, up to ``MAX_PARTS``; the sample
+never meet in one task. Parts are as many as needed for ``PART_ROWS`` vectors each, ``MIN_PARTS`` to ``MAX_PARTS``; the sample
 has ``SAMPLE_PER_PART`` vectors for each. A query takes further parts until these hold ``k`` candidates, so it finds
 ``k`` whenever there are as many.
 
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 PART_ROWS = 2048
+MIN_PARTS = 8
 MAX_PARTS = 256
 SAMPLE_PER_PART = 128
 GRAPH_K = 16
@@ -124,27 +133,47 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def fit(sample: np.ndarray, depth: int) -> Router:
-    """Learn ``2 ** depth`` parts from a sample of unit vectors."""
-    graph = neighbour_graph(sample, GRAPH_K)
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors of one length, by one more component."""
+    rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1, keepdims=True), 0.0))
+    return np.hstack([x, rest]) / longest
+
+
+def fit(sample: np.ndarray, depth: int, longest: float) -> tuple[Router, Router]:
+    """Learn ``2 ** depth`` parts from a sample: the network that places vectors, and the one that routes queries."""
+    at = np.arange(len(sample))
+    high = lifted(sample, longest)
+    graph = neighbour_graph(high, GRAPH_K)
     part = balanced_parts(graph, depth, np.random.default_rng(2))
     spread = np.zeros((len(sample), 1 << depth))
-    np.add.at(spread, (np.arange(len(sample)), part), 2.0)
-    np.add.at(spread, (np.repeat(np.arange(len(sample)), graph.shape[1]), part[graph].ravel()), 1.0)
-    router = Router(sample.shape[1], 1 << depth)
-    router.fit(sample, spread / spread.sum(axis=1, keepdims=True))
-    return router
+    np.add.at(spread, (at, part), 2.0)
+    np.add.at(spread, (np.repeat(at, graph.shape[1]), part[graph].ravel()), 1.0)
+    place = Router(high.shape[1], 1 << depth)
+    place.fit(high, spread / spread.sum(axis=1, keepdims=True))
+    # where placed vectors end up is what a query has to find
+    part = np.argmax(place.logits(high), axis=1)
+    nearest = neighbour_graph_of(sample, sample, GRAPH_K)
+    wanted = np.zeros((len(sample), 1 << depth))
+    np.add.at(wanted, (np.repeat(at, nearest.shape[1]), part[nearest].ravel()), 1.0)
+    route = Router(sample.shape[1], 1 << depth)
+    route.fit(unit(sample), wanted / wanted.sum(axis=1, keepdims=True))
+    return place, route
+
+
+def neighbour_graph_of(queries: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` points of largest inner product with each query, itself included."""
+    k = min(k, len(points))
+    return np.vstack([np.argpartition(-(queries[at : at + 512] @ points.T), k - 1, axis=1)[:, :k] for at in range(0, len(queries), 512)])
 
 
-def probes_needed(router: Router, queries: np.ndarray, points: np.ndarray, k: int, recall: float) -> int:
+def probes_needed(place: Router, route: Router, queries: np.ndarray, points: np.ndarray, longest: float, k: int, recall: float) -> int:
     """Parts that a query visits so that ``recall`` of its ``k`` nearest are there, on vectors that were not learned from.
 
     The nearest of a sample lie further off than those of the table, so the table's recall is rather higher.
     """
-    k = min(k, len(points))
-    order = np.argsort(-router.logits(queries), axis=1, kind="stable")
-    nearest = np.argpartition(-(queries @ points.T), k - 1, axis=1)[:, :k]
-    part = np.argmax(router.logits(points), axis=1)
+    order = np.argsort(-route.logits(unit(queries)), axis=1, kind="stable")
+    nearest = neighbour_graph_of(queries, points, k)
+    part = np.argmax(place.logits(lifted(points, longest)), axis=1)
     turn = np.argsort(order, axis=1)  # when a query comes to a part
     visit = np.sort(np.take_along_axis(turn, part[nearest], axis=1).ravel())
     return int(visit[min(len(visit) - 1, int(np.ceil(recall * len(visit))) - 1)]) + 1
@@ -193,20 +222,23 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     if dims is None:
         return spark.createDataFrame([], schema)
     kept = kept.where(F.size("v") == dims["dim"]).groupBy("id").agg(F.min("v").alias("v"))
+    longest = kept.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c)))).first()[0]
     depth = 0
-    while (1 << depth) < min(max_parts, dims["count"] / part_rows):
+    while (1 << depth) < min(max_parts, max(MIN_PARTS, dims["count"] / part_rows)):
         depth += 1
-    router = None
+    sample = kept.orderBy(F.xxhash64(F.lit(1), "id")).limit((sample_per_part << depth) + PROBE_QUERIES).select("v").toArrow()
+    sample = matrix(sample["v"])
+    asking = min(PROBE_QUERIES, len(sample) // 4)
+    if len(sample) - asking <= GRAPH_K << depth:  # too few to be cut so often
+        depth = 0
     if depth:
-        sample = kept.orderBy(F.xxhash64(F.lit(1), "id")).limit((sample_per_part << depth) + PROBE_QUERIES).select("v").toArrow()
-        sample = unit(matrix(sample["v"]))
-        router = fit(sample[PROBE_QUERIES:], depth)
-        probes = probes or probes_needed(router, sample[:PROBE_QUERIES], sample[PROBE_QUERIES:], k, recall)
+        place, route = fit(sample[asking:], depth, longest)
+        probes = probes or probes_needed(place, route, sample[:asking], sample[asking:], longest, k, recall)
     probes = probes or 1
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = np.argmax(router.logits(unit(matrix(b["v"]))), axis=1) if router and len(b) else np.zeros(len(b), np.int64)
+            part = np.argmax(place.logits(lifted(matrix(b["v"]), longest)), axis=1) if depth and len(b) else np.zeros(len(b), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b["id"], b["v"]], ["part", "id", "v"])
 
     index = materialize(kept.mapInArrow(placed, "part int, id long, v array<double>"), "ann-index")
@@ -214,37 +246,67 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     for r in index.groupBy("part").count().collect():
         sizes[r["part"]] = r["count"]
     held = np.array(sizes)
+    chunks = np.maximum(1, -(-held // CHUNK))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logits = router.logits(unit(matrix(b["v"]))) if router and len(b) else np.zeros((len(b), 1))
+            logits = route.logits(unit(matrix(b["v"]))) if depth and len(b) else np.zeros((len(b), 1))
             order = np.argsort(-logits, axis=1, kind="stable")
             reach = np.cumsum(held[order], axis=1) - held[order]
             # the most probable parts, and more of them while fewer than k candidates besides the query lie in them
             take = (np.arange(order.shape[1]) < probes) | (reach < k + 1)
+            few = np.minimum(k, -(-4 * k // (take * chunks[order]).sum(axis=1)))
             row, col = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, col], pa.int32()), b["id"].take(pa.array(row)), b["v"].take(pa.array(row))], ["part", "id", "v"])
+            columns = [pa.array(order[row, col], pa.int32()), pa.array(few[row], pa.int32()), b["id"].take(pa.array(row)), b["v"].take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "few", "id", "v"])
 
-    asked = materialize(index.where(queries).select("id", "v").mapInArrow(routed, "part int, id long, v array<double>"), "ann-queries")
-    chunks = [max(1, -(-n // CHUNK)) for n in sizes]
+    asked = materialize(index.where(queries).select("id", "v").mapInArrow(routed, "part int, few int, id long, v array<double>"), "ann-queries")
     blocks = [1] * len(sizes)
     for r in asked.groupBy("part").count().collect():
         blocks[r["part"]] = max(1, -(-r["count"] // CHUNK))
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("part") + 1)
+    of = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("part") + 1)
     own = lambda values: F.pmod(F.xxhash64("id"), of(values)).cast("int")
     every = lambda values: F.explode(F.sequence(F.lit(0), of(values) - 1))
-    candidates = index.select("part", own(chunks).alias("chunk"), every(blocks).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    questions = asked.select("part", every(chunks).alias("chunk"), own(blocks).alias("block"), F.lit(True).alias("asks"), "id", "v")
+    no_floor = [F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("floor_id")]
+    candidates = index.select("part", own(chunks).alias("chunk"), every(blocks).alias("block"), F.lit(-1).alias("few"), "id", "v", *no_floor)
+    questions = asked.select("part", every(chunks).alias("chunk"), own(blocks).alias("block"), "few", "id", "v", *no_floor)
 
     def reranked(key: tuple, group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy().astype(bool)
+        few = group["few"].to_numpy()
+        asks = few >= 0
         ids, v = group["id"].to_numpy(), matrix(group["v"])
-        if asks.any() and not asks.all():
-            columns = ranked(v[asks], ids[asks], v[~asks], ids[~asks], k)
-        else:
-            columns = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.Table.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = candidates.union(questions).groupBy("part", "chunk", "block").applyInArrow(reranked, "query_id long, vec_id long, score double")
+        query, found, score = (ranked(v[asks], ids[asks], v[~asks], ids[~asks], k) if asks.any() and not asks.all() else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
+        order = np.argsort(ids[asks])
+        of_query = order[np.searchsorted(ids[asks][order], query)]
+        few = few[asks][of_query]
+        start = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(query)))
+        rank = np.arange(len(query)) - np.repeat(start, size)
+        rest, rest_id = np.full(len(query), -np.inf), np.full(len(query), -1)
+        more = np.repeat(size, size) > few
+        at = (np.repeat(start, size) + few)[more]  # the best one that is not told
+        rest[more], rest_id[more] = score[at], found[at]
+        floor = group["floor"].filter(pa.array(asks)).to_numpy(zero_copy_only=False).astype(float)[of_query] if len(query) else np.empty(0)
+        floor_id = group["floor_id"].filter(pa.array(asks)).to_pandas().fillna(-1).to_numpy(np.int64)[of_query] if len(query) else np.empty(0, np.int64)
+        first = np.isnan(floor)
+        tell = np.where(first, rank < few, (rank >= few) & ((score > floor) | ((score == floor) & (found < floor_id))))
+        n = int(tell.sum())
+        columns = [query, found, score, np.repeat(key[0].as_py(), len(query)), np.repeat(key[1].as_py(), len(query)), rest, rest_id]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c[tell], t) for c, t in zip(columns, kinds, strict=True)] if n else [pa.array([], t) for t in kinds], ["query_id", "vec_id", "score", "part", "chunk", "rest", "rest_id"])
+
+    told = "query_id long, vec_id long, score double, part int, chunk int, rest double, rest_id long"
+    first = materialize(candidates.union(questions).groupBy("part", "chunk", "block").applyInArrow(reranked, told), "ann-first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"), F.col("vec_id").alias("floor_id"))
+    left = first.groupBy("query_id", "part", "chunk").agg(F.first("rest").alias("rest"), F.first("rest_id").alias("rest_id")).where("rest > double('-infinity')")
+    # with fewer than k told, any rest counts
+    left = left.join(floors, "query_id", "left").withColumns({"floor": F.coalesce("floor", F.lit(float("-inf"))), "floor_id": F.coalesce("floor_id", F.lit((1 << 63) - 1))})
+    left = materialize(left.where("rest > floor or (rest = floor and rest_id < floor_id)").select(F.col("query_id").alias("id"), "part", "chunk", "floor", "floor_id"), "ann-left")
+    block = own(blocks).alias("block")
+    again = asked.join(left, ["id", "part"]).select("part", "chunk", block, "few", "id", "v", "floor", "floor_id")
+    wanted = candidates.join(again.select("part", "chunk", "block").distinct(), ["part", "chunk", "block"], "left_semi").select(*candidates.columns)
+    rest = wanted.union(again).groupBy("part", "chunk", "block").applyInArrow(reranked, told)
+    columns = ["query_id", "vec_id", "score"]
+    found = first.select(*columns).union(rest.select(*columns))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

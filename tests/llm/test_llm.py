@@ -198,6 +198,39 @@ def test_neighbours(spark):
     assert sorted(r["vec_id"] for r in few.collect()) == [1, 2]
 
 
+def test_neighbours_by_inner_product_of_unequal_lengths(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((30, 16))
+    x = (centers[rng.integers(0, 30, 4000)] + 0.5 * rng.standard_normal((4000, 16))) * rng.lognormal(0, 0.6, (4000, 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for part_rows in (200, neighbours.PART_ROWS):
+        got = neighbours.search(vectors, F.col("id") % 100 == 0, part_rows=part_rows).toPandas()
+        hit = 0
+        for q in range(0, 4000, 100):
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            mine = got[got.query_id == q].sort_values("rank")
+            assert len(mine) == 20 and np.allclose(mine.score, scores[mine.vec_id.tolist()])
+            hit += len(set(np.argsort(-scores)[:20]) & set(mine.vec_id))
+        assert hit / (40 * 20) >= 0.9
+
+
+def test_neighbours_asked_twice_are_those_of_one_question(spark):
+    """Whatever a part tells first, the answer is that of ranking all visited vectors."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.standard_normal((900, 8)), 1)
+    x[:500, 2:] = 0  # one part holds most of the nearest, with ties
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(vectors, F.col("id") % 20 == 0, probes=256).toPandas()
+    for q in range(0, 900, 20):
+        scores = sum(x[:, d] * x[q, d] for d in range(8))
+        scores[q] = -np.inf
+        if x[q].any():
+            some = np.array([i for i in range(900) if x[i].any()])
+            want = some[np.lexsort((some, -scores[some]))][:20]
+            assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want.tolist()
+
+
 def test_packing(spark, docs, rows):
     lengths = spark.createDataFrame([(1, 5000), (2, 300), (3, 256), (4, 0), (5, None), (None, 100), (7, 17), (7, 17)], "doc_id long, n long")
     got = packing.pack(lengths, "doc_id", "n").collect()
