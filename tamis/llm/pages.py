@@ -1,9 +1,10 @@
 """Main text of web pages with a recurrent block labeller.
 
-A page is cut into leaf blocks: runs of text between the borders of block elements. Every block has the hashed tags,
-classes and ids of its path, its hashed words, and a few measures. A bidirectional LSTM (numpy) reads the blocks of a page
-in order and labels each as main text or not. It is trained on ``TRAIN_PAGES`` generated pages whose blocks are known:
-articles in many kinds of containers among menus, headers, footers, sidebars, notices, adverts, forms and comments.
+A page is cut into leaf blocks: runs of text between the borders of block elements. Every block has the tags, classes and ids
+of its whole path, pooled by mean, by maximum and by the innermost known name, so that wrappers of no meaning hide nothing;
+its hashed words, and a few measures. A bidirectional LSTM (numpy) reads the blocks of a page in order and labels each as main
+text or not. It is trained on ``TRAIN_PAGES`` generated pages whose blocks are known: articles in many kinds of containers and
+neutral wrappers among menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Defined cases: a null or empty page has an empty text. Scripts, styles, templates, comments and the head never make blocks.
 Character references are decoded once; white space (no-break spaces and ``<br>`` included) becomes one space. Elements
@@ -17,15 +18,17 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?/]")
+MARK = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PARTS = re.compile(r"[^\W_]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_]+")
 # Kinds of HTML elements.
 RAW = frozenset("script style noscript template svg textarea iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -33,10 +36,13 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 
-PATH_SLOTS, WORD_SLOTS = 512, 512
-PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 24, 6, 5, 20
-TRAIN_PAGES, EPOCHS = 800, 8
+WORD_SLOTS = 512
+PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 16, 6, 5, 20
+TRAIN_PAGES, EPOCHS = 1200, 8
 CACHED = 100_000
+STEPS = 4096  # blocks of a page that are labelled at once
+DEEPEST = 512  # elements within each other; as in browsers, a deeper one stands beside the last
+BROKEN = 8  # tags with quotes that never close, after which quotes mean nothing
 
 
 def slot(word: str, slots: int) -> int:
@@ -44,22 +50,31 @@ def slot(word: str, slots: int) -> int:
 
 
 class Slots(dict):
-    """Hashed places of strings."""
-
-    def __init__(self, slots: int) -> None:
-        self.slots = slots
+    """Hashed places of words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > CACHED:
             self.clear()
-        value = self[word] = slot(word, self.slots)
+        value = self[word] = slot(word, WORD_SLOTS)
         return value
 
 
+class Names(dict):
+    """Places of the names that mean something on pages; all others share one, so that made-up names tell nothing."""
+
+    def __init__(self) -> None:
+        known = sorted(set(STRUCTURE) | set(BUILDER_NAMES) | {part for n in (*" ".join(SIDE_NAMES.values()).split(), *MAIN_NAMES) for part in n.split("-")})
+        super().__init__((name, i + 1) for i, name in enumerate(known))
+        self.size = len(known) + 1
+
+    def __missing__(self, name: str) -> int:
+        return 0
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: list[str], text: str, linked: int) -> None:
+    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -68,7 +83,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, list[str]]] = []
     parts: list[str] = []
-    path: list[str] = []
+    path: tuple[str, ...] = ()
+    paths: dict[tuple, tuple] = {}  # equal paths are held once
     linked = links = 0
 
     def close() -> None:
@@ -86,7 +102,8 @@ def blocks(page: str) -> list[Block]:
             text = html.unescape(text)
         if not text.isspace():
             if not parts:
-                path = [x for _, names in stack for x in names]
+                path = tuple(x for _, names in stack for x in names)
+                path = paths.setdefault(path, path)
             if links:
                 linked += len(text)
         elif not parts:
@@ -94,14 +111,12 @@ def blocks(page: str) -> list[Block]:
         parts.append(text)
 
     at, end = 0, len(page)
-    for m in iter_tokens(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = max(at, m.end())
-        tag = m.group(2)
+    for begin, stop, closing, tag, attributes in tokens(page):
+        if begin > at:
+            add(page[at:begin])
+        at = max(at, stop)
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             if parts:
                 parts.append(" ")
@@ -109,64 +124,79 @@ def blocks(page: str) -> list[Block]:
         block = tag not in INLINE
         if block:
             close()
-        if m.group(1):
+        keep = len(stack)
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    keep = k
                     break
                 if not block and stack[k][0] not in INLINE:
                     break
-        elif tag not in VOID:
-            if block:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+        elif tag not in VOID and block:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p" or stack[k][0] == tag == "li":
+                    keep = k
+                    break
+                if stack[k][0] not in INLINE:
+                    break
+        if not closing and tag not in VOID:
+            keep = min(keep, DEEPEST - 1)
+        links -= sum(t == "a" for t, _ in stack[keep:])
+        del stack[keep:]
+        if not closing and tag not in VOID:
             names = [tag]
-            if m.group(3):
-                for found in NAMES.findall(m.group(3)):
-                    names += PARTS.findall("".join(found).lower())
+            if attributes:
+                for found in NAMES.findall(attributes):
+                    names += map(str.lower, PARTS.findall("".join(found)))
             stack.append((tag, names))
-        links = sum(t == "a" for t, _ in stack) if tag == "a" or (block and links) else links
+            links += tag == "a"
     if at < end:
         add(page[at:])
     close()
     return out
 
 
-def iter_tokens(page: str) -> Iterator[re.Match]:
-    """Tags and comments; what stands inside raw elements is skipped with them."""
-    at = 0
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, tag, attributes) of tags, and of comments and raw elements without a tag; linear in the page."""
+    at, end, broken = 0, len(page), 0
+    last = {q: page.rfind(q) for q in "\"'>"}
     while True:
-        m = TOKEN.search(page, at)
+        m = OPEN.search(page, at)
         if m is None:
             return
-        tag = (m.group(2) or "").lower()
-        if tag in RAW and not m.group(1) and not m.group(3).endswith("/"):
-            stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, m.end())
-            yield Skipped(m.start(), stop.end() if stop else len(page))
-            at = stop.end() if stop else len(page)
+        tag = m.group(2)
+        if tag is None:
+            closer = "-->" if m.group() == "<!--" else ">"
+            stop = page.find(closer, m.end())
+            at = end if stop < 0 else stop + len(closer)
+            yield m.start(), at, False, None, ""
+            continue
+        if last[">"] < m.end():
+            # nothing closes any more: a tag that begins last is dropped, others are text
+            if page.find("<", m.end()) < 0:
+                yield m.start(), end, False, None, ""
+            return
+        stop, place = -1, m.end()
+        while True:
+            mark = MARK.search(page, place)
+            if mark is None:
+                break
+            place = mark.end()
+            if mark.group() == ">":
+                stop = mark.start()
+                break
+            if broken < BROKEN and last[mark.group()] >= place:
+                place = page.index(mark.group(), place) + 1
+        if stop < 0:
+            broken += 1
+            stop = page.index(">", m.end())
+        at, tag, attributes = stop + 1, tag.lower(), page[m.end() : stop]
+        if tag in RAW and not m.group(1) and not attributes.endswith("/"):
+            raw = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = raw.end() if raw else end
+            yield m.start(), at, False, None, ""
         else:
-            yield m
-            at = m.end()
-
-
-class Skipped:
-    """Stands for a raw element."""
-
-    def __init__(self, start: int, end: int) -> None:
-        self.place = (start, end)
-
-    def start(self) -> int:
-        return self.place[0]
-
-    def end(self) -> int:
-        return self.place[1]
-
-    def group(self, _: int) -> None:
-        return None
+            yield m.start(), at, bool(m.group(1)), tag, attributes
 
 
 class Labeller:
@@ -174,8 +204,8 @@ class Labeller:
 
     def __init__(self, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
-        inputs = PATH_SIZE + WORD_SIZE + MEASURES
-        w = {"path": rng.normal(0, 0.3, (PATH_SLOTS, PATH_SIZE)), "word": rng.normal(0, 0.1, (WORD_SLOTS, WORD_SIZE))}
+        inputs = 3 * PATH_SIZE + WORD_SIZE + MEASURES
+        w = {"path": rng.normal(0, 0.3, (Names().size, PATH_SIZE)), "word": rng.normal(0, 0.1, (WORD_SLOTS, WORD_SIZE))}
         for side in ("f", "b"):
             w[f"x{side}"] = rng.normal(0, inputs**-0.5, (inputs, 4 * HIDDEN))
             w[f"h{side}"] = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN))
@@ -186,33 +216,43 @@ class Labeller:
         self.w = w
 
     @staticmethod
-    def features(pages: list[list[Block]], names: Slots, words: Slots) -> tuple[list, list, np.ndarray]:
-        """Per block: slots of the path, slots of the words, measures."""
+    def features(pages: list[list[Block]], names: Names, words: Slots) -> tuple[list, list, np.ndarray]:
+        """Per block: places of the names of the whole path, slots of the words, measures."""
         paths, texts, measures = [], [], []
         for page in pages:
             for i, b in enumerate(page):
-                paths.append([names[x] for x in b.path[-24:]] or [names[""]])
-                tokens = b.text.lower().split()
-                texts.append([words[x] for x in tokens])
+                paths.append([names[x] for x in b.path] or [0])
+                texts.append([words[x] for x in b.text.lower().split()])
                 n = len(b.text)
-                measures.append((np.log1p(n) / 6, b.linked / max(n, 1), len(b.path) / 10, sum(map(b.text.count, ".,!?")) * 5 / (n + 5), i / (len(page) + 5)))
+                measures.append((np.log1p(n) / 6, b.linked / max(n, 1), np.log1p(len(b.path)) / 3, sum(map(b.text.count, ".,!?")) * 5 / (n + 5), i / (len(page) + 5)))
         return paths, texts, np.array(measures).reshape(-1, MEASURES)
 
     @staticmethod
-    def mean(table: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for y in lists for x in y), np.int64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        out = np.add.reduceat(table[flat], ends - sizes, axis=0) if len(lists) else np.empty((0, table.shape[1]))
-        return out / sizes[:, None], flat, sizes
+        return np.fromiter((x for y in lists for x in y), np.int64, int(sizes.sum())), sizes, np.cumsum(sizes) - sizes
 
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """Hidden states (pages, steps, HIDDEN) of one direction; masked steps leave the state as it is."""
+    def vectors(self, pages: list[list[Block]], names: Names, words: Slots) -> tuple[np.ndarray, tuple]:
+        """Input vectors of all blocks: of the path the mean, the largest and the innermost known name; of the words the mean."""
+        paths, texts, measures = self.features(pages, names, words)
+        p, p_sizes, p_start = self.flat(paths)
+        q, q_sizes, q_start = self.flat(texts)
+        inner = np.array([next((x for x in reversed(y) if x), 0) for y in paths], np.int64)
+        table = self.w["path"][p]
+        if not len(paths):
+            return np.empty((0, 3 * PATH_SIZE + WORD_SIZE + MEASURES)), ()
+        mean = np.add.reduceat(table, p_start, axis=0) / p_sizes[:, None]
+        most = np.maximum.reduceat(table, p_start, axis=0)
+        word = np.add.reduceat(self.w["word"][q], q_start, axis=0) / q_sizes[:, None]
+        return np.concatenate([mean, most, self.w["path"][inner], word, measures], axis=1), (p, p_sizes, table, most, p_start, inner, q, q_sizes)
+
+    def run(self, x: np.ndarray, mask: np.ndarray, side: str, trace: list | None = None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states (pages, steps, HIDDEN) of one direction, and the last state; masked steps leave the state as it is."""
         w, u, c0 = self.w[f"x{side}"], self.w[f"h{side}"], self.w[f"c{side}"]
         pre = x @ w + c0
         n, steps = mask.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-        out, trace = np.zeros((n, steps, HIDDEN)), []
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
+        out = np.zeros((n, steps, HIDDEN))
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             a = pre[:, t] + h @ u
             s = 1 / (1 + np.exp(-np.clip(a[:, : 3 * HIDDEN], -30, 30)))
@@ -220,10 +260,11 @@ class Labeller:
             m = mask[:, t : t + 1]
             new = f * c + i * g
             th = np.tanh(new)
-            trace.append((t, i, f, o, g, c, th, h, m))
+            if trace is not None:
+                trace.append((t, i, f, o, g, c, th, h, m))
             c, h = np.where(m, new, c), np.where(m, o * th, h)
             out[:, t] = h
-        return out, trace
+        return out, (h, c)
 
     def back(self, d: np.ndarray, x: np.ndarray, trace: list, side: str, grads: dict) -> np.ndarray:
         w, u = self.w[f"x{side}"], self.w[f"h{side}"]
@@ -244,22 +285,19 @@ class Labeller:
         grads[f"c{side}"] = da_all.sum((0, 1))
         return da_all @ w.T
 
-    def forward(self, pages: list[list[Block]], names: Slots, words: Slots) -> tuple:
-        paths, texts, measures = self.features(pages, names, words)
-        p, p_flat, p_sizes = self.mean(self.w["path"], paths)
-        q, q_flat, q_sizes = self.mean(self.w["word"], texts)
+    def forward(self, pages: list[list[Block]], names: Names, words: Slots) -> tuple:
+        vectors, kept = self.vectors(pages, names, words)
         sizes = np.fromiter(map(len, pages), np.int64, len(pages))
         mask = np.arange(sizes.max(initial=1))[None, :] < sizes[:, None]
-        x = np.zeros((*mask.shape, p.shape[1] + q.shape[1] + MEASURES))
-        x[mask] = np.concatenate([p, q, measures], axis=1)
-        hf, tf = self.run(x, mask, "f")
-        hb, tb = self.run(x, mask, "b")
-        z = np.concatenate([hf, hb, x], axis=2)
+        x = np.zeros((*mask.shape, vectors.shape[1]))
+        x[mask] = vectors
+        tf, tb = [], []
+        z = np.concatenate([self.run(x, mask, "f", tf)[0], self.run(x, mask, "b", tb)[0], x], axis=2)
         logit = (z @ self.w["out"])[:, :, 0] + self.w["bias"]
-        return logit, mask, x, z, tf, tb, (p_flat, p_sizes, q_flat, q_sizes)
+        return logit, mask, x, z, tf, tb, kept
 
-    def labels(self, pages: list[list[Block]], names: Slots, words: Slots, cells: int = 20_000) -> list[np.ndarray]:
-        """Main text or not, per page and block; pages of similar length run together."""
+    def labels(self, pages: list[list[Block]], names: Names, words: Slots, cells: int = 20_000) -> list[np.ndarray]:
+        """Main text or not, per page and block; pages of similar length run together, long ones in stretches."""
         out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         at = 0
@@ -267,21 +305,47 @@ class Labeller:
             end = at + 1
             while end < len(order) and end - at < 512 and len(pages[order[end]]) * (end - at + 1) <= cells:
                 end += 1
-            logit, mask = self.forward([pages[i] for i in order[at:end]], names, words)[:2]
+            some = [pages[i] for i in order[at:end]]
+            longest = max(map(len, some))
+            sizes = np.array(list(map(len, some)))
+
+            def stretch(begin: int) -> tuple[np.ndarray, np.ndarray]:
+                mask = np.arange(begin, min(begin + STEPS, longest))[None, :] < sizes[:, None]  # noqa: B023
+                part = [p[begin : begin + STEPS] for p in some]  # noqa: B023
+                vectors, _ = self.vectors(part, names, words)
+                # the place in the page counts from its begin
+                offset = np.concatenate([(begin + np.arange(len(q))) / (len(p) + 5) for p, q in zip(some, part, strict=True)])  # noqa: B023
+                vectors[:, -1] = offset
+                x = np.zeros((*mask.shape, vectors.shape[1]))
+                x[mask] = vectors
+                return x, mask
+
+            begins = range(0, longest, STEPS)
+            behind, state = {}, None
+            for begin in reversed(begins):
+                x, mask = stretch(begin)
+                behind[begin], state = self.run(x, mask, "b", None, state)
+            state, logits = None, []
+            for begin in begins:
+                if len(begins) > 1:
+                    x, mask = stretch(begin)
+                ahead, state = self.run(x, mask, "f", None, state)
+                logits.append((np.concatenate([ahead, behind.pop(begin), x], axis=2) @ self.w["out"])[:, :, 0] + self.w["bias"])
+            logit = np.concatenate(logits, axis=1)
             for row, i in enumerate(order[at:end]):
-                out[i] = logit[row, mask[row]] > 0
+                out[i] = logit[row, : len(pages[i])] > 0
             at = end
         return out
 
     def fit(self, pages: list[list[Block]], truth: list[np.ndarray], epochs: int = EPOCHS, batch: int = 40, rate: float = 1e-2, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
-        names, words = Slots(PATH_SLOTS), Slots(WORD_SLOTS)
+        names, words = Names(), Slots()
         m, v, step = {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(pages))
             for at in range(0, len(pages), batch):
                 some = [pages[i] for i in order[at : at + batch]]
-                logit, mask, x, z, tf, tb, (p_flat, p_sizes, q_flat, q_sizes) = self.forward(some, names, words)
+                logit, mask, x, z, tf, tb, (p, p_sizes, table, most, p_start, inner, q, q_sizes) = self.forward(some, names, words)
                 y = np.zeros(mask.shape)
                 y[mask] = np.concatenate([truth[i] for i in order[at : at + batch]])
                 d = np.where(mask, 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y, 0)[:, :, None] / mask.sum()
@@ -289,9 +353,13 @@ class Labeller:
                 dz = d @ self.w["out"].T
                 dx = dz[:, :, 2 * HIDDEN :] + self.back(dz[:, :, :HIDDEN], x, tf, "f", grads) + self.back(dz[:, :, HIDDEN : 2 * HIDDEN], x, tb, "b", grads)
                 dx = dx[mask]
-                for name, flat, sizes, part in (("path", p_flat, p_sizes, dx[:, :PATH_SIZE]), ("word", q_flat, q_sizes, dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE])):
-                    grads[name] = np.zeros_like(self.w[name])
-                    np.add.at(grads[name], flat, np.repeat(part / sizes[:, None], sizes, axis=0))
+                d_mean, d_most, d_inner, d_word = np.split(dx[:, : 3 * PATH_SIZE + WORD_SIZE], [PATH_SIZE, 2 * PATH_SIZE, 3 * PATH_SIZE], axis=1)
+                top = table == np.repeat(most, p_sizes, axis=0)
+                ties = np.repeat(np.add.reduceat(top.astype(float), p_start, axis=0), p_sizes, axis=0)
+                grads["path"], grads["word"] = np.zeros_like(self.w["path"]), np.zeros_like(self.w["word"])
+                np.add.at(grads["path"], p, np.repeat(d_mean / p_sizes[:, None], p_sizes, axis=0) + top * np.repeat(d_most, p_sizes, axis=0) / ties)
+                np.add.at(grads["path"], inner, d_inner)
+                np.add.at(grads["word"], q, np.repeat(d_word / q_sizes[:, None], q_sizes, axis=0))
                 step += 1
                 now = rate * (1 - epoch / epochs) + rate / 10
                 for k, g in grads.items():
@@ -312,6 +380,9 @@ SIDE_NAMES = {
     "comments": "comments comment-list comment respond discussion replies disqus reader-comments thread reply",
     "small": "share social breadcrumb breadcrumbs tags pagination pager meta byline toolbar",
 }
+STRUCTURE = "html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 h5 h6 table tr td th blockquote pre figure figcaption dl dt dd button label select option fieldset details summary address input".split()
+PLAIN_NAMES = "container wrapper wrap row col inner outer grid flex block box layout page site app root group column area holder md sm lg xl fluid center clearfix elementor widget-wrap vc stack shell card panel".split()
+BUILDER_NAMES = "elementor vc wp et pb fl fusion block module element section container column widget inner text editor wrap row group".split()
 MAIN_NAMES = "content main post entry story article article-body post-content entry-content body-text text main-content page-content post-body story-body".split()
 NOTICE_WORDS = "we use cookies to improve your experience accept privacy policy subscribe to our newsletter sign up log in search share terms all rights reserved".split()
 
@@ -352,7 +423,24 @@ class Writer:
         tag = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form", "comments": "section", "advert": "aside"}.get(kind, "div")
         tag = self.one(tag, tag, "div", "div", "section")
         mark = self.one(f' class="{name}"', f' id="{name}"', f' class="{name} x{self.rng.integers(9)}"')
-        return f"<{tag}{mark if tag in ('div', 'section') or self.chance(0.4) else ''}>{inner}</{tag}>"
+        return self.wrapped(f"<{tag}{mark if tag in ('div', 'section') or self.chance(0.4) else ''}>{self.wrapped(inner, 3)}</{tag}>", 4)
+
+    def made_up(self) -> str:
+        """Names that say nothing: of a grid, of a builder, or hashed."""
+        kind = self.rng.random()
+        if kind < 0.25:
+            return self.one("elementor-", "vc_", "wp-block-", "et_pb_", "fl-", "fusion-") + self.one("section", "container", "column", "widget", "widget-wrap", "element", "text-editor", "row", "module", "inner", "group", "text")
+        if kind < 0.5:
+            return " ".join(self.rng.choice(PLAIN_NAMES, self.rng.integers(1, 4)))
+        if kind < 0.7:
+            return self.one("col-md-8 col-sm-12", "col-lg-9", "col-xs-12 col-md-7", "w-full max-w-4xl mx-auto", "x y", "a b", "c1")
+        return " ".join("".join(self.rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789"), self.rng.integers(2, 9))) + self.one("", "", "_3", "-" + str(self.rng.integers(99))) for _ in range(self.rng.integers(1, 3)))
+
+    def wrapped(self, inner: str, most: int) -> str:
+        """Inside some neutral elements."""
+        for _ in range(self.rng.integers(0, most + 1) if self.chance(0.5) else 0):
+            inner = f'<div{self.one("", f""" class="{self.made_up()}\"""", f""" class="{self.made_up()}\"""", f""" id="{self.made_up()}\"""")}>{inner}</div>'
+        return inner
 
     def links(self) -> str:
         items = [f'<a href="/{i}">{self.phrase(1, 3)}</a>' for i in range(self.rng.integers(2, 9))]
@@ -397,7 +485,9 @@ class Writer:
                 out.append(self.own("div", self.prose(5, 60)))
             else:
                 out.append(self.side(self.one("advert", "small", "notice", "sidebar", "form")))
-        inner = "".join(out)
+        if self.chance(0.3):
+            out = [self.wrapped(x, 2) for x in out]
+        inner = self.wrapped("".join(out), 6)
         name = self.one(*MAIN_NAMES)
         box = self.rng.random()
         if box < 0.45:
@@ -407,19 +497,21 @@ class Writer:
         elif box < 0.9:
             inner = f'<div {self.one("class", "id")}="{name}">{inner}</div>'
         if self.chance(0.3):
-            inner = f'<{self.one("main", "div", "section")} {self.one("class", "id")}="{self.one("wrapper", "container", "page", "row", *MAIN_NAMES)}">{inner}</div>'
-        return inner
+            inner = f'<div {self.one("class", "id")}="{self.one("wrapper", "container", "page", "row", *MAIN_NAMES)}">{inner}</div>'
+        return self.wrapped(inner, 8)
 
     def page(self) -> tuple[list[Block], np.ndarray]:
         self.main = set()
         before = [self.side(k) for k in ("header", "menu", "notice", "advert", "form", "small", "sidebar") if self.chance(0.4)]
         after = [self.side(k) for k in ("small", "comments", "sidebar", "advert", "form", "notice", "footer") if self.chance(0.45)]
         self.rng.shuffle(before)
-        text = "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(before) + self.article() + "".join(after) + "</body></html>"
+        body = "".join(before) + self.article() + "".join(after)
+        text = "<!DOCTYPE html><html><head><title>t</title></head><body>" + self.wrapped(body, 3) + "</body></html>"
         found = blocks(text)
         return found, np.array([b.text in self.main for b in found], float)
 
 
+@cache
 def trained(pages: int = TRAIN_PAGES, seed: int = 1) -> Labeller:
     writer = Writer(seed)
     made = [writer.page() for _ in range(pages)]
@@ -434,7 +526,7 @@ def main_text(pages: DataFrame, labeller: Labeller | None = None, html_col: str
     labeller = labeller or trained()
 
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names, words = Slots(PATH_SLOTS), Slots(WORD_SLOTS)
+        names, words = Names(), Slots()
         for batch in batches:
             out = []
             for at in range(0, len(batch), 512):

@@ -439,11 +439,67 @@ def test_blocks():
     assert found[2].path == ["html", "body", "p", "b"] and found[3].path == ["html", "body", "p"]
 
 
+def ordinary_page(rng, before, after):
+    """A page in markup that the training generator does not write: article paragraphs between ``before`` and ``after``."""
+    said = lambda k: " ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(k)).capitalize() + "."
+    article = [said(rng.randint(8, 60)) for _ in range(5)]
+    head = '<body><header class="site-header"><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav></header>'
+    side = f'<aside class="sidebar"><h3>Search</h3><p>Subscribe to our newsletter</p></aside><div class="comments"><div class="comment"><p>{said(6)}</p></div></div>'
+    return f"{head}{before}{''.join(f'<p>{p}</p>' for p in article)}{after}{side}<footer>Copyright 2024 all rights reserved</footer></body>", article
+
+
+WRAPPERS = {
+    "article": ["article"],
+    "grid": ['div class="container"', 'div class="row"', 'div class="col-md-8 col-sm-12"', 'div class="post-content"'],
+    "builder": [f'div class="elementor-{x}"' for x in ("section", "container", "column", "widget-wrap", "element", "widget", "text-editor")],
+    "hashed": ['div class="css-1x2y3z"', 'div class="sc-bdVaJa kGqNbK"', 'main class="_3fTy8"'],
+    "inside": ["article", *['div class="x y"'] * 4],
+    "deep": ['div id="__next"', *['div class="a b"'] * 30, "article"],
+    "bare": [],
+}
+
+
+def test_articles_in_ordinary_markup_are_kept_whole():
+    import random
+
+    rng, labeller = random.Random(3), pages.trained()
+    for kind, wrappers in WRAPPERS.items():
+        kept = side = blocks = 0
+        for _ in range(20):
+            page, article = ordinary_page(rng, "".join(f"<{w}>" for w in wrappers), "".join(f"</{w.split()[0]}>" for w in reversed(wrappers)))
+            found = pages.blocks(page)
+            got = {b.text for b, y in zip(found, labeller.labels([found], pages.Names(), pages.Slots())[0]) if y}
+            kept += sum(p in got for p in article)
+            side += len(got - set(article))
+            blocks += len(found) - len(article)
+        assert kept >= 0.98 * 100 and side <= 0.02 * blocks, kind
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for broken in ("<x ", "<a \"> <b '> ", "<p title='\"> x ", '<a b="', "<div>x", "<!--", "<script>", "&amp;<"):
+        pages.blocks(broken * 20_000)
+    assert time.time() - start < 20
+    long = pages.blocks("<div class=sidebar><p>menu</p></div><article>" + "<p>some words of a long story, told here.</p>" * 30_000 + "</article><footer>end</footer>")
+    labels = pages.trained().labels([long], pages.Names(), pages.Slots())[0]
+    assert len(labels) == 30_002 and labels[1:-1].mean() > 0.98 and not labels[0] and not labels[-1]
+    # stretches do not change what a page's labels are
+    page = long[:200]
+    whole = pages.trained().forward([page], pages.Names(), pages.Slots())[0][0] > 0
+    steps, pages.STEPS = pages.STEPS, 7
+    try:
+        assert (pages.trained().labels([page], pages.Names(), pages.Slots())[0] == whole).all()
+    finally:
+        pages.STEPS = steps
+
+
 def test_labeller_on_pages_it_has_not_seen(spark):
     labeller = pages.trained(250)
     writer = pages.Writer(77)
     made = [x for x in (writer.page() for _ in range(60)) if x[0]]
-    names, slots = pages.Slots(pages.PATH_SLOTS), pages.Slots(pages.WORD_SLOTS)
+    names, slots = pages.Names(), pages.Slots()
     labels = labeller.labels([b for b, _ in made], names, slots)
     right = np.concatenate([a == (y > 0) for a, (_, y) in zip(labels, made)])
     assert right.mean() > 0.95
@@ -451,3 +507,4 @@ def test_labeller_on_pages_it_has_not_seen(spark):
     got = {r["url"]: r for r in pages.main_text(table, labeller).collect()}
     assert got["u"]["text"] == "" and got[None]["n_chars"] == 0
     assert got["v"]["text"] == ("some words here. " * 9).strip()
+    assert pages.main_text(table.where("page_id > 9"), labeller).collect() == []
