@@ -173,15 +173,15 @@ def dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(packed, "bucket int, payload binary")
 
 
-def unpacked(payloads: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(payloads: pa.ChunkedArray, width: int = NAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct classes (digests); then the class number and hash of every entry."""
     names, counts, tokens = [], [], []
     for p in payloads:
         blob = p.as_buffer()
         k = int(np.frombuffer(blob, np.int64, 1)[0])
-        names.append(np.frombuffer(blob, f"V{NAME}", k, 8))
-        counts.append(np.frombuffer(blob, np.uint16, k, 8 + NAME * k))
-        tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + (NAME + 2) * k))
+        names.append(np.frombuffer(blob, f"V{width}", k, 8))
+        counts.append(np.frombuffer(blob, np.uint16, k, 8 + width * k))
+        tokens.append(np.frombuffer(blob, np.uint64, -1, 8 + (width + 2) * k))
     distinct, back = np.unique(np.concatenate(names), return_inverse=True)
     return distinct, np.repeat(back.astype(np.int32), np.concatenate(counts)), np.concatenate(tokens)
 

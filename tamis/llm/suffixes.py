@@ -101,13 +101,18 @@ def class_name(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
 
+def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each anchor, by its low bits: an anchor is the least of many hashes, so its high bits are nearly all small."""
+    return (anchors & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     """(cls, anchors): the anchors of each class that another class has too, in one packed value per bucket."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         for b in slices(batches, 1000):
-            out: dict[int, tuple[list, list, list]] = {}
+            out: dict[int, tuple[list, list]] = {}
             seen = set()
             for x in b["data"]:
                 data = x.as_py() or b""
@@ -115,16 +120,18 @@ def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                     continue
                 seen.add(name)
                 h = np.unique(anchors.of(data)[2])
-                at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                for part in np.split(h, np.flatnonzero(at[1:] != at[:-1]) + 1):
-                    names, sizes, parts = out.setdefault(int((int(part[0]) >> 32) * buckets >> 32), ([], [], []))
+                at = bucket_of(h, buckets)
+                order = np.argsort(at, kind="stable")
+                h, at = h[order], at[order]
+                cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
+                for bucket, part in zip(at[np.append(0, cuts)].tolist(), np.split(h, cuts), strict=True):
+                    names, parts = out.setdefault(bucket, ([], []))
                     names.append(name)
-                    sizes.append(0)
                     parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([payload(*x) for x in out.values()], pa.binary())], ["bucket", "payload"])
 
     def counted(key: tuple, group: pa.Table) -> pa.Table:
-        names, _, owner, anchor = unpacked(group["payload"])
+        names, owner, anchor = unpacked(group["payload"], 16)
         again = met_again(anchor)
         owner, anchor = owner[again], anchor[again]
         order = np.lexsort((owner, anchor))

@@ -508,3 +508,11 @@ def test_labeller_on_pages_it_has_not_seen(spark):
     assert got["u"]["text"] == "" and got[None]["n_chars"] == 0
     assert got["v"]["text"] == ("some words here. " * 9).strip()
     assert pages.main_text(table.where("page_id > 9"), labeller).collect() == []
+
+
+def test_anchor_buckets_are_even():
+    rng = np.random.default_rng(3)
+    found = np.unique(np.concatenate([suffixes.Anchors(suffixes.LENGTH).of(bytes(rng.integers(97, 123, 200_000).astype(np.uint8)))[2] for _ in range(3)]))
+    for buckets in (30, 300, 1700):
+        held = np.bincount(suffixes.bucket_of(found, buckets).astype(np.int64), minlength=buckets)
+        assert held.max() < 2 * held.mean() or held.mean() < 30
