@@ -287,14 +287,14 @@ def features(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def prefixes(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, cls, n, pos, indexed): places of the prefix that are shared; ``indexed`` ones suffice for the smaller side."""
+    """(token, cls, n, own, pos, indexed): places of the prefix that are shared; ``indexed`` ones suffice for the smaller side."""
     rows = feats.select("cls", "n", "tokens", (F.col("n") - F.size("tokens")).alias("own"))
     prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     index = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
     taken = F.slice("tokens", 1, F.greatest(prefix - F.col("own"), F.lit(0)).cast("int"))
     opened = rows.select("cls", "n", "own", index.alias("index"), F.posexplode(taken).alias("at", "token"))
     pos = F.col("own") + F.col("at")
-    return opened.select("token", "cls", "n", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
+    return opened.select("token", "cls", "n", "own", pos.alias("pos"), (pos < F.col("index")).alias("indexed"))
 
 
 def may_link(x: str, y: str, percent: int = PERCENT) -> str:
@@ -339,7 +339,9 @@ def class_components(feats: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of the classes that link with others."""
     entries = materialize(prefixes(feats, percent), "jaccard-entries")
     sigs = feats.select("cls", "sig")
-    hubs = entries.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos", "indexed"), F.xxhash64("cls")).alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h.*")
+    # what others were copied from has the fewest shingles of its own
+    hub = F.min_by(F.struct("cls", "n", "pos", "indexed"), F.struct("own", F.xxhash64("cls")))
+    hubs = entries.groupBy("token").agg(hub.alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h.*")
     first = entries.alias("x").join(hubs.alias("y"), "token").where(may_link("x", "y", percent)).select(*pair("x", "y")).distinct()
     side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
     first = first.join(side("a"), "a").join(side("b"), "b").where(f"{bound('sig_a', 'sig_b')} >= {need('n_a', 'n_b', percent)}")
