@@ -12,8 +12,8 @@ lies within the rest of the budget. The place is found in two steps, sums per ha
 inside the one range where the budget ends, so a source of any size is never in one task.
 
 Defined cases: rows with a null source form a source of their own; rows without tokens never decide a budget, and a
-source without any tokens is used once; equal rows are interchangeable. An empty table gives no rows. Input columns are kept;
-columns of the same name as those added are replaced.
+source without any tokens is used once. Rows that share an id but differ have places of their own; rows that are equal in every
+column go in or stay out together. An empty table gives no rows. Input columns are kept; ``n_tokens`` and ``n_uses`` are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ MAX_REPEATS = 4.0
 GRID = 32
 ROUNDS = 7
 RANGE_ROWS = 10_000
-KEY = "_mix_source"
-PLACE = "_mix_place"
+# Columns of our own beside those of the input.
+KEY, PLACE, TOKENS, BLOCKS, REST, UNTIL = (f"_mix_{x}" for x in ("source", "place", "tokens", "blocks", "rest", "until"))
 
 
 def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
@@ -72,10 +72,10 @@ def mix(docs: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str
     ``budget`` is the number of tokens of the mixture; all tokens of the input if not given.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    narrow = materialize(
-        docs.select(key.alias(KEY), place(seed, F.col(id_col)).alias(PLACE), F.col(id_col).alias("id"), tokens.cast("long").alias("tokens")),
-        "mix-rows",
-    )
+    # the whole row goes into its place, so that rows that only share an id have places of their own
+    whole = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    marked = docs.withColumns({KEY: key, PLACE: place(seed, F.col(id_col), *whole), TOKENS: tokens.cast("long")})
+    narrow = materialize(marked.select(KEY, PLACE, F.col(TOKENS).alias("tokens")), "mix-rows")
     sources = materialize(narrow.groupBy(KEY).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).coalesce(1), "mix-sources")
     total = sources.agg(F.sum("tokens").alias("t"), F.max("rows").alias("rows")).first()
     budget = float(total["t"] or 0) if budget is None else float(budget)
@@ -90,19 +90,21 @@ def mix(docs: DataFrame, tokens: Column, id_col: str = "doc_id", source_col: str
     # ranges of the permutation, so narrow that one holds about RANGE_ROWS rows of the largest source
     bits = min(40, max(0, (int(total["rows"] or 0) // RANGE_ROWS).bit_length()))
     span = F.shiftright(F.col(PLACE), 63 - bits)
-    ranges = narrow.groupBy(KEY, span.alias("span")).agg(F.sum("tokens").alias("tokens"))
+    # equal rows have one place; they are added up before their range is put in order
+    places = narrow.groupBy(KEY, span.alias("span"), PLACE).agg(F.sum("tokens").alias("tokens"))
+    ranges = places.groupBy(KEY, "span").agg(F.sum("tokens").alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(KEY).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("before", before).join(plan, KEY)
     edge = ranges.where("before <= rest and before + tokens > rest").select(KEY, "span", (F.col("rest") - F.col("before")).alias("room"))
-    inside = narrow.withColumn("span", span).join(edge, [KEY, "span"])
-    running = F.sum("tokens").over(Window.partitionBy(KEY, "span").orderBy(PLACE, "id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
+    inside = places.join(edge, [KEY, "span"])
+    running = F.sum("tokens").over(Window.partitionBy(KEY, "span").orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0))
     first_out = inside.withColumn("running", running).where("running > room").groupBy(KEY).agg(F.min(PLACE).alias("until"))
-    plan = materialize(plan.join(first_out, KEY, "left").select(KEY, "blocks", "rest", F.coalesce("until", F.lit(0)).alias("until")).coalesce(1), "mix-plan")
-    # Rows with equal places (repeated ids) go in or stay out together.
-    base = docs.drop("n_tokens", "n_uses").withColumn("n_tokens", tokens.cast("long"))
-    joined = base.withColumn(KEY, key).withColumn(PLACE, place(seed, F.col(id_col))).join(plan, KEY, "left")
-    uses = F.col("blocks") + F.when((F.col("rest") > 0) & (F.col(PLACE) < F.col("until")), 1).otherwise(0)
-    return joined.withColumn("n_uses", F.coalesce(uses, F.lit(1)).cast("long")).drop(KEY, PLACE, "blocks", "rest", "until")
+    plan = plan.join(first_out, KEY, "left").select(KEY, F.col("blocks").alias(BLOCKS), F.col("rest").alias(REST), F.coalesce("until", F.lit(0)).alias(UNTIL))
+    plan = materialize(plan.coalesce(1), "mix-plan")
+    joined = marked.drop("n_tokens", "n_uses").join(plan, KEY, "left")
+    uses = F.col(BLOCKS) + F.when((F.col(REST) > 0) & (F.col(PLACE) < F.col(UNTIL)), 1).otherwise(0)
+    used = joined.withColumns({"n_tokens": F.col(TOKENS), "n_uses": F.coalesce(uses, F.lit(1)).cast("long")})
+    return used.drop(KEY, PLACE, TOKENS, BLOCKS, REST, UNTIL)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -231,6 +231,59 @@ def test_neighbours_asked_twice_are_those_of_one_question(spark):
             assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want.tolist()
 
 
+def test_mix_keeps_clashing_columns_and_tells_rows_with_one_id_apart(spark):
+    rows = [(None, f"w{i} " * 10, None, "a", 7) for i in range(200)] + [(i, f"v{i} " * 10, None, "b", 7) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("rest", "blocks", "until", "tokens", "span", "raised")})
+    mixed = mixing.mix(docs, n_words(F.col("text")), budget=2000, entropy=0.98).collect()
+    used = Counter()
+    for r in mixed:
+        used[r["source"]] += r["n_uses"] * r["n_tokens"]
+        assert r["rest"] == r["blocks"] == r["until"] == r["span"] == "x"
+    assert len(mixed) == 400 and all(900 <= used[s] <= 1000 for s in "ab")
+
+
+def test_packing_weighs_all_permitted_lengths():
+    """No more padding than with the largest length alone, less where the others fit better; and near the best for small sets."""
+    rng = np.random.default_rng(1)
+
+    def spent(lengths, capacities, allowed=packing.CAPACITIES):
+        bins, _, _ = packing.best_fit(lengths, capacities)
+        used = np.bincount(bins, lengths)
+        return int(sum(min(c for c in allowed if c >= u) + packing.OVERHEAD for u in used))
+
+    for lengths in (rng.integers(1, 2049, 3000), np.clip(rng.lognormal(5.5, 1, 3000).astype(int), 1, 2048), rng.integers(290, 510, 3000)):
+        assert spent(lengths, packing.CAPACITIES) <= 1.001 * spent(lengths, packing.CAPACITIES[-1:])
+    uneven = rng.integers(290, 510, 3000)
+    assert spent(uneven, packing.CAPACITIES) < 0.993 * spent(uneven, packing.CAPACITIES[-1:])
+
+    def best(lengths, sizes=(4, 8, 16), overhead=1):
+        """The least cost of all ways to part a small set."""
+        seen = {}
+
+        def least(left):
+            if not left:
+                return 0
+            if left not in seen:
+                first, rest = left[0], left[1:]
+                seen[left] = min(
+                    next(c for c in sizes if c >= total) + overhead + least(tuple(x for k, x in enumerate(rest) if not mask >> k & 1))
+                    for mask in range(1 << len(rest))
+                    if (total := first + sum(x for k, x in enumerate(rest) if mask >> k & 1)) <= sizes[-1]
+                )
+            return seen[left]
+
+        return least(tuple(lengths))
+
+    worse = 0
+    for _ in range(40):
+        lengths = rng.integers(1, 17, rng.integers(1, 8))
+        bins, _, capacity = packing.best_fit(lengths, (4, 8, 16), 1)
+        cost = sum(c + 1 for _, c in {(b, c) for b, c in zip(bins.tolist(), capacity.tolist())})
+        assert cost >= best(sorted(lengths.tolist()))
+        worse += cost - best(sorted(lengths.tolist()))
+    assert worse <= 40
+
+
 def test_packing(spark, docs, rows):
     lengths = spark.createDataFrame([(1, 5000), (2, 300), (3, 256), (4, 0), (5, None), (None, 100), (7, 17), (7, 17)], "doc_id long, n long")
     got = packing.pack(lengths, "doc_id", "n").collect()
