@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_queries", "source_queries", "dedupe_queries", "store_queries", "delivery_queries", "evaluation_queries")
+AREAS = ("text_queries", "source_queries", "dedupe_queries", "store_queries", "delivery_queries", "evaluation_queries", "run_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

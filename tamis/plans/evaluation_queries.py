@@ -327,15 +327,7 @@ def seeded_sample(spark, sf):
 
 @register("seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id)) - 1 AS place FROM labels")
 def seeded_shuffle(spark, sf):
-    rows = sampling.shuffle(table(spark, sf, "labels"), "doc_id").select("doc_id")
-    # number the shuffled rows by counting the smaller hashes of every partition first
-    part = rows.withColumns({"p": F.spark_partition_id(), "i": F.monotonically_increasing_id()})
-    from pyspark.sql import Window
-
-    inside = part.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy("i")))
-    sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return inside.join(F.broadcast(before), "p").select("doc_id", (F.col("b") + F.col("at") - 1).alias("place"))
+    return sampling.shuffled_places(table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
 # ---- imports -----------------------------------------------------------------------------------------------------------------

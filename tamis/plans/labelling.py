@@ -57,6 +57,16 @@ def pairs_sheet(
     return rows.select("url_a", "url_b", "sample"), sheet
 
 
+def pair_counts(raw: DataFrame, t: D.Thresholds = D.Thresholds()) -> DataFrame:
+    """One row: postings, those without a company (they are in no pair), pairs of related companies, candidates among them."""
+    df = materialize(first_per_key(normalize_postings(blanks_to_null(raw)), "url", "ingest_seq"), "normal")
+    features, shared = D.posting_features(df, t)
+    rows = features.agg(F.count(F.lit(1)).alias("n_postings"), F.count_if(F.col("company") == "").alias("n_without_company"))
+    all_pairs = pairs.link_weights(features).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+    found = pairs.candidate_pairs(features, shared, t).agg(F.count(F.lit(1)).alias("n_candidates"))
+    return rows.join(all_pairs, F.lit(True)).join(found, F.lit(True))  # three tables of one row
+
+
 def score_versions(gold: DataFrame, snapshot: DataFrame, versions: dict[str, RuleSet]) -> DataFrame:
     """Labels joined to the predictions of every rule version, one row per posting and version."""
     parts = [
