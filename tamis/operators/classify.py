@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import find_excluded_roles, find_keywords, find_roles, industry_text
+from ..functions.matching import find_excluded_roles, find_grouped, find_roles, industry_text
 from ..functions.postings import search_text
 from ..functions.text import blanks_to_null, normalize_location, normalize_text, normalize_work_format
 from ..rules import RuleSet
@@ -42,28 +42,22 @@ def classify(df: DataFrame, rules: RuleSet, wide: bool = False) -> DataFrame:
         title, company, *[opt(c) for c in ("description", "specialization", "industry", "skills")]
     )
     # one lower-cased copy of the text feeds every industry
-    out = df.withColumn("_text", F.lower(text))
-    hits = {
-        key: find_keywords(
-            industry_text(company, title, F.col("_text"), rules.industry_excludes.get(key, []), lowered_text=True), words, lowered_text=True
-        )
-        for key, words in rules.industries.items()
-    }
-    keys = [F.lit(k) for k in hits]
-    pairs = F.map_from_arrays(F.array(*keys), F.array(*hits.values()))
-    out = out.withColumns(
-        {
-            "_hits": pairs,
-            "matched_roles": find_roles(title, rules.roles),
-            "excluded_roles": find_excluded_roles(title, rules.excluded_roles),
-        }
-    ).withColumn("industries", F.map_filter("_hits", lambda k, v: F.size(v) > 0))
+    body = F.col("_text")
+    searched = {key: industry_text(company, title, body, rules.industry_excludes.get(key, []), lowered_text=True) for key in rules.industries}
+    found = F.struct(
+        find_grouped(body, rules.industries, searched).alias("_hits"),
+        find_roles(title, rules.roles).alias("matched_roles"),
+        find_excluded_roles(title, rules.excluded_roles).alias("excluded_roles"),
+    )
+    # a generated row is evaluated once, however often its fields are used or filtered on
+    out = df.withColumn("_text", F.lower(text)).withColumn("_found", F.explode(F.array(found)))
+    out = out.select(*df.columns, "_found.*").withColumn("industries", F.map_filter("_hits", lambda k, v: F.size(v) > 0))
     if wide:
         out = out.withColumns({k: F.try_element_at("_hits", F.lit(k)) for k in rules.industries})
     return out.withColumn(
         "is_target",
         (F.size("matched_roles") > 0) & (F.size("excluded_roles") == 0) & (F.size("industries") > 0),
-    ).drop("_text", "_hits")
+    ).drop("_hits")
 
 
 def naive_title_match(title: Column | str) -> Column:

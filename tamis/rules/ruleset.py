@@ -22,16 +22,14 @@ class RuleSet:
     version: str = "current"
 
     @classmethod
-    def versions(cls, table: DataFrame, max_rules: int = 20_000) -> dict[str, RuleSet]:
+    def versions(cls, table: DataFrame) -> dict[str, RuleSet]:
         """All versions held by a table of ``RULE_SCHEMA``.
 
         ``kind`` is ``industry``, ``industry_exclude``, ``role``, ``excluded_role``, ``level`` or
-        ``skill``; kinds that a version leaves out keep their fixed values. Rules become expressions, so a table
-        of more than ``max_rules`` rows is refused.
+        ``skill``; kinds that a version leaves out keep their fixed values. Rules are written by people, so
+        they are read whole.
         """
-        rows = table.select("version", "kind", "category", "cat_pos", "term", "term_pos").take(max_rules + 1)
-        if len(rows) > max_rules:
-            raise ValueError(f"more than {max_rules} rules")
+        rows = table.select("version", "kind", "category", "cat_pos", "term", "term_pos").collect()
         grouped: dict[str, dict[str, dict[str, list[str]]]] = {}
         for r in sorted(rows, key=lambda r: (r.version, r.kind, r.cat_pos, r.term_pos)):
             grouped.setdefault(r.version, {}).setdefault(r.kind, {}).setdefault(r.category, []).append(r.term)
