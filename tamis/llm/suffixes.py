@@ -107,7 +107,7 @@ def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(cls, anchors): the anchors of each class that another class has too, in one packed value per bucket."""
+    """(cls, anchors): the anchors of each class that another class has too, packed."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
@@ -140,6 +140,18 @@ def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
         owner, anchor = owner[new], anchor[new]
         many = met_again(anchor)
         owner, anchor = owner[many], anchor[many]
+        to = np.frombuffer(names.tobytes(), np.uint64)[::2] % np.uint64(buckets)
+        order = np.lexsort((owner, to[owner]))
+        owner, anchor = owner[order], anchor[order]
+        # one row per group of classes, in which a class has all its anchors of this bucket
+        home, out = to[owner].astype(np.int64), []
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(home)) + 1) if len(owner) else ():
+            held, size = np.unique(owner[part], return_counts=True)
+            out.append((int(home[part[0]]), payload([names[i].tobytes() for i in held], np.split(anchor[part], np.cumsum(size)[:-1]))))
+        return pa.Table.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["home", "payload"])
+
+    def gathered(key: tuple, group: pa.Table) -> pa.Table:
+        names, owner, anchor = unpacked(group["payload"], 16)
         order = np.argsort(owner, kind="stable")
         owner, anchor = owner[order], anchor[order]
         heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
@@ -147,7 +159,9 @@ def repeated_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
         columns = [pa.array([names[i].tobytes() for i in owner[heads]], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())]
         return pa.Table.from_arrays(columns, ["cls", "anchors"])
 
-    return rows.select("data").mapInArrow(packed, "bucket int, payload binary").groupBy("bucket").applyInArrow(counted, "cls binary, anchors binary")
+    dealt = rows.select("data").mapInArrow(packed, "bucket int, payload binary")
+    met = dealt.groupBy("bucket").applyInArrow(counted, "home int, payload binary")
+    return met.groupBy("home").applyInArrow(gathered, "cls binary, anchors binary")
 
 
 class RunIndex:
