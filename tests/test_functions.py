@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,31 @@ def test_rates_and_roubles(spark):
     ).withColumn("salary_max", F.lit(None).cast("double"))
     got = [r.salary_min_rub for r in money.add_rub_salaries(rows.withColumn("at", F.monotonically_increasing_id()), rates).orderBy("at").collect()]
     assert got == [100_000, 100_000, 168_000, 90_000, 2, None]
+
+
+def test_grouped_keywords_equal_a_search_for_each(spark):
+    rng = random.Random(7)
+    letters = "abcо "
+    word = lambda n: "".join(rng.choices(letters, k=n)).strip() or "a"
+    groups = {g: [w.upper() if rng.random() < 0.2 else w for w in {word(rng.randint(1, 8)) for _ in range(60)}] for g in ("x", "y", "z")}
+    excludes = {"y": ["ab c", "oо"], "z": ["bb"]}
+    texts = [" ".join(word(rng.randint(1, 9)) for _ in range(rng.randint(0, 12))) for _ in range(150)] + ["", None, "  ", "ab"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+
+    def blanked(t, group):
+        for phrase in excludes.get(group, []):
+            t = t.replace(phrase, " ")
+        return t
+
+    def column(group):
+        out = F.col("t")
+        for phrase in excludes.get(group, []):
+            out = F.replace(out, F.lit(phrase), F.lit(" "))
+        return out
+
+    got = {r.id: r.m for r in rows.select("id", matching.find_grouped(F.col("t"), groups, {g: column(g) for g in groups}).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == {g: [k for k in words if t is not None and k.lower() in blanked(t, g)] for g, words in groups.items()}
+    keywords, index, short = matching.keyword_index({"many": [f"keyword{i} of {i}" for i in range(500)]})
+    assert len(keywords) == 500 and not short and sum(map(len, index.values())) == 500
+    assert matching.keyword_index({"a": ["it", "f6", "банк"]})[2] == [0, 1]
