@@ -70,14 +70,13 @@ def _complete() -> Column:
     return F.col("cnt") + _implied("ha", "hb") == F.col("sa") * F.col("sb")
 
 
-def _best_at_both_ends(edges: DataFrame) -> DataFrame:
+def _marked(edges: DataFrame) -> DataFrame:
+    """The edges, written once, with ``top``: the edge is the best one left at both of its ends."""
     ends = edges.select("best", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.min("best").alias("top"))
-    return (
-        edges.join(best.select(F.col("node").alias("a"), F.col("top").alias("top_a")), "a")
-        .join(best.select(F.col("node").alias("b"), F.col("top").alias("top_b")), "b")
-        .filter((F.col("best") == F.col("top_a")) & (F.col("best") == F.col("top_b")))
-    )
+    best = ends.groupBy("node").agg(F.min("best").alias("_best"))
+    a, b = (best.select(F.col("node").alias(e), F.col("_best").alias(f"_best_{e}")) for e in "ab")
+    marked = edges.join(a, "a").join(b, "b").withColumn("top", (F.col("best") == F.col("_best_a")) & (F.col("best") == F.col("_best_b")))
+    return materialize(marked.drop("_best_a", "_best_b"), "edges")
 
 
 def _contract(edges: DataFrame, moves: DataFrame) -> DataFrame:
@@ -105,27 +104,24 @@ def _contract(edges: DataFrame, moves: DataFrame) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.first("ha").alias("ha"), F.first("hb").alias("hb"), F.sum("cnt").alias("cnt"), F.min("best").alias("best"))
     )
-    return materialize(left.filter(_complete()), "edges")
+    return left.filter(_complete())
 
 
 def _rounds(edges: DataFrame, steps: list[DataFrame], first: Column | None = None) -> DataFrame:
     """Merge every edge that is the best one left at both of its ends, until none is left (that is among the ``first``).
 
     The merges of a round do not touch each other, and nothing better can come before any of them, so the groups
-    are those of one edge at a time.
+    are those of one edge at a time. ``edges`` and what is returned are marked.
     """
     while True:
-        chosen = _best_at_both_ends(edges)
+        chosen = edges.filter("top")
         if first is not None:
             chosen = chosen.filter(first)
-        moves = materialize(
-            chosen.select((F.col("sa") + F.col("sb")).alias("size"), F.concat("ha", "hb").alias("hist"), F.least("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("node")),
-            "moves",
-        )
-        if moves.isEmpty():
+        if chosen.isEmpty():
             return edges
+        moves = chosen.select((F.col("sa") + F.col("sb")).alias("size"), F.concat("ha", "hb").alias("hist"), F.least("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("node"))
         steps.append(moves.select("node", "grp"))
-        edges = _contract(edges, moves)
+        edges = _marked(_contract(edges, moves))
 
 
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,9 +244,8 @@ def complete_linkage(edges: DataFrame, members: DataFrame | None = None, later:
     one, none = F.lit(1).cast("long"), F.array().cast(_HIST)
     hist = lambda e: F.when(F.col(f"f{e}").isNotNull(), F.array(F.struct(F.col(f"f{e}").alias("fam"), F.col(f"b{e}").alias("board"), one.alias("n")))).otherwise(none)
     implied = F.coalesce((F.col("fa") == F.col("fb")) & (F.col("ba") != F.col("bb")), F.lit(False))
-    work = materialize(
-        work.select("a", "b", one.alias("sa"), one.alias("sb"), hist("a").alias("ha"), hist("b").alias("hb"), F.when(implied, 0).otherwise(1).cast("long").alias("cnt"), "best"),
-        "edges",
+    work = _marked(
+        work.select("a", "b", one.alias("sa"), one.alias("sb"), hist("a").alias("ha"), hist("b").alias("hb"), F.when(implied, 0).otherwise(1).cast("long").alias("cnt"), "best")
     )
     listed = work.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     steps: list[DataFrame] = []
@@ -258,7 +253,7 @@ def complete_linkage(edges: DataFrame, members: DataFrame | None = None, later:
     moves = _line_up(members, listed, steps)
     if not moves.isEmpty():
         steps.append(moves.select("node", "grp"))
-        work = _contract(work, moves)
+        work = _marked(_contract(work, moves))
     _rounds(work, steps)
     return _follow(listed.unionByName(members.select("node")).distinct(), steps)
 

@@ -176,8 +176,8 @@ def test_repeated_titles_merge_as_classes(spark, seed, boards, related):
 
 def test_repeated_titles_take_no_more_rounds_when_there_are_more(spark, monkeypatch):
     calls = []
-    rounds = G._best_at_both_ends
-    monkeypatch.setattr(G, "_best_at_both_ends", lambda edges: calls.append(1) or rounds(edges))
+    rounds = G._marked
+    monkeypatch.setattr(G, "_marked", lambda edges: calls.append(1) or rounds(edges))
     taken = []
     for n in (200, 400):
         vocab = [f"x{i}" for i in range(30 * n)]
