@@ -97,7 +97,7 @@ def normalize_types(spark, sf):
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY ALL""",
 )
 def normalize_category(spark, sf):
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     segment, urgency = F.col("c_mktsegment"), F.col("o_orderpriority")
     place = (
         F.when(segment == "HOUSEHOLD", " г. Мск ")

@@ -90,6 +90,28 @@ def test_offer_with_hidden_salary(spark):
     assert (b.salary_min, b.salary_max, b.currency, b.location, b.skills) == (None, 5.0, "USD", None, [])
 
 
+def test_rows_that_share_key_and_order_all_stay(spark):
+    from tamis.operators.exact import first_per_key, last_per_key
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 5, "n"), (None, 6, "m")], "k string, o int, v string")
+    assert sorted(r.v for r in first_per_key(rows, "k", "o").collect()) == ["n", "x", "y"]
+    assert sorted(r.v for r in last_per_key(rows, "k", "o").collect()) == ["z"]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_numbers_go_on_over_ranges(spark, keys):
+    from tamis.operators.rank import numbered
+
+    rng = random.Random(2)
+    rows = [(None if (k := rng.choice([1, 1, 1, 1, 2, None])) is None else k, i, rng.choice("abc")) for i in range(400)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k int, o int, v string").repartition(5)
+    got = {(r.k, r.o): r.n for r in numbered(df, keys, [F.desc("v"), "o"], "n").collect()}
+    order = sorted(rows, key=lambda r: (-ord(r[2]), r[1]))
+    for k in {r[0] for r in rows}:
+        mine = [r for r in order if not keys or r[0] == k]
+        assert [got[r[0], r[1]] for r in mine] == list(range(1, len(mine) + 1))
+
+
 def test_failing_source_is_skipped(spark, tmp_path):
     df, report = union_sources({"bad": lambda: spark.read.parquet(str(tmp_path / "none")), "good": lambda: spark.range(3)})
     assert df.count() == 3 and report["good"] == 3 and "none" in report["bad"]
