@@ -399,7 +399,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = join_hot(rows, first, "label", "members").where(F.struct("doc_id", "print") != F.col("first")).select("doc_id", "print")
     marked = docs.withColumn("_print", key)
     on = lambda df: [marked["doc_id"] == df["doc_id"], marked["_print"] == df["print"]]
-    gone = materialize(gone.distinct(), "jaccard-gone")
+    # texts move once to meet what goes, at any size, and are not sorted
+    gone = materialize(gone.distinct(), "jaccard-gone").hint("shuffle_hash")
     kept = marked.join(gone, on(gone), "left_anti")
     again = rows.where("copies > 1").select(F.col("doc_id").alias("_id"), F.col("print").alias("_again"))
     if again.isEmpty():
