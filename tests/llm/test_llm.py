@@ -489,7 +489,7 @@ def test_blocks():
     page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/">x</a><li>y</ul></nav><!-- no --><script>var a="</p>";</script><p><b>One &amp; two<br>three<p>four &copy'
     found = pages.blocks(page)
     assert [b.text for b in found] == ["x", "y", "One & two three", "four ©"]
-    assert found[2].path == ["html", "body", "p", "b"] and found[3].path == ["html", "body", "p"]
+    assert found[2].path == ("html", "body", "p", "b") and found[3].path == ("html", "body", "p")
 
 
 def ordinary_page(rng, before, after):
