@@ -124,6 +124,28 @@ def _rounds(edges: DataFrame, steps: list[DataFrame], first: Column | None = Non
         edges = _marked(_contract(edges, moves))
 
 
+def _cliques(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, grp)`` of nodes whose neighbours, themselves included, are the same set for all of this set.
+
+    Such a set merges to one group in whatever order. Sets are compared by size and two sums of 64-bit hashes; what a family
+    implies is added up per family and board, and listed edges that it implies are not counted again.
+    """
+    names = {f"s{i}": F.xxhash64(F.lit(i), "node").cast("decimal(38,0)") for i in (1, 2)} | {"k": F.lit(1).cast("decimal(38,0)")}
+    total = lambda prefix="": [F.sum(c).alias(f"{prefix}{c}") for c in names]
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("node"), "cnt"), F.struct(F.col("b").alias("at"), F.col("a").alias("node"), "cnt"))).alias("e")).select("e.*")
+    listed = both.filter("cnt = 1").select(F.col("at").alias("of"), *[v.alias(c) for c, v in names.items()])
+    hashed = members.select("node", "fam", "board", *[v.alias(c) for c, v in names.items()])
+    boards = hashed.groupBy("fam", "board").agg(*total("b_"))
+    families = boards.groupBy("fam").agg(*[F.sum(f"b_{c}").alias(f"f_{c}") for c in names])
+    implied = hashed.select("node", "fam", "board").join(boards, ["fam", "board"]).join(families, "fam")
+    implied = implied.select(F.col("node").alias("of"), *[(F.col(f"f_{c}") - F.col(f"b_{c}")).alias(c) for c in names])
+    nodes = both.select(F.col("at").alias("node")).unionByName(members.select("node")).distinct()
+    own = nodes.select(F.col("node").alias("of"), *[v.alias(c) for c, v in names.items()])
+    around = own.unionByName(listed).unionByName(implied).groupBy("of").agg(*total())
+    sets = around.groupBy(*names).agg(F.min("of").alias("grp"), F.count(F.lit(1)).alias("n")).filter("n = k and n > 1").select(*names, "grp")
+    return materialize(around.join(sets, list(names)).select(F.col("of").alias("node"), "grp"), "cliques")
+
+
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Place each item of a family, in order, into the first slot that has none of its boards.
 
@@ -244,13 +266,16 @@ def complete_linkage(edges: DataFrame, members: DataFrame | None = None, later:
     one, none = F.lit(1).cast("long"), F.array().cast(_HIST)
     hist = lambda e: F.when(F.col(f"f{e}").isNotNull(), F.array(F.struct(F.col(f"f{e}").alias("fam"), F.col(f"b{e}").alias("board"), one.alias("n")))).otherwise(none)
     implied = F.coalesce((F.col("fa") == F.col("fb")) & (F.col("ba") != F.col("bb")), F.lit(False))
-    work = _marked(
-        work.select("a", "b", one.alias("sa"), one.alias("sb"), hist("a").alias("ha"), hist("b").alias("hb"), F.when(implied, 0).otherwise(1).cast("long").alias("cnt"), "best")
+    work = materialize(
+        work.select("a", "b", one.alias("sa"), one.alias("sb"), hist("a").alias("ha"), hist("b").alias("hb"), F.when(implied, 0).otherwise(1).cast("long").alias("cnt"), "best"),
+        "listed",
     )
     listed = work.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    steps: list[DataFrame] = []
-    work = _rounds(work, steps, ~F.expr(later))
-    moves = _line_up(members, listed, steps)
+    whole = _cliques(work, members)
+    steps: list[DataFrame] = [whole]
+    # a whole set has no edge to others
+    work = _rounds(_marked(work.join(whole.select(F.col("node").alias("a")), "a", "left_anti")), steps, ~F.expr(later))
+    moves = _line_up(members.join(whole.select("node"), "node", "left_anti"), listed, steps)
     if not moves.isEmpty():
         steps.append(moves.select("node", "grp"))
         work = _marked(_contract(work, moves))

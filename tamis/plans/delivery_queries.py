@@ -262,7 +262,8 @@ def deliver_run(spark, sf):
     p, s = _postings(spark, sf), _subscribers(spark, sf)
     seen = materialize(V.seen_urls(_journal(spark, sf), s), "seen")
     chosen = materialize(V.drop_seen(V.fan_out(p, s, KNOWN), V.posting_urls(p), seen), "chosen")
-    messages = V.pack_messages(V.digest_items(chosen, p, s, seen))
+    items, openings = V.digest_items(chosen, p, s, seen)
+    messages = V.pack_messages(items, openings=openings)
     entries = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)\. \*"), F.lit(1)))
     top = F.array_max(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^(\d+)\. \*"), F.lit(1)), lambda n: n.cast("bigint")))
     found = messages.groupBy("chat_id").agg(F.sum(entries).alias("n_postings"), F.max(top).alias("last"))

@@ -327,13 +327,14 @@ def _one_entry_at_a_time(intro, bodies, limit):
     return [*out, text]
 
 
-def test_a_chat_with_most_entries_is_packed_in_ranges(spark):
+def test_a_chat_with_most_entries_is_packed_in_ranges(spark, monkeypatch):
     rng = random.Random(4)
     chats = {1: 900, 2: 1, 3: 300, **{i: 20 for i in range(4, 24)}}
     bodies = {c: ["x" * rng.choice([0, 1, 3, 8, 20, 90]) for _ in range(n)] for c, n in chats.items()}
     rows = [(c, f"{c}:" + "i" * (c % 7) * 9, b, i) for c, bs in bodies.items() for i, b in enumerate(bs)]
     items = spark.createDataFrame(rng.sample(rows, len(rows)), "chat_id long, intro string, body string, place long").repartition(3)
-    for size in (18, 64, 2000):
+    for size, joined in ((18, 4), (18, 64), (64, 2), (2000, 64)):
+        monkeypatch.setattr(delivery, "JOINED", joined)
         got = delivery.pack_messages(items, 80, size=size).collect()
         for c, bs in bodies.items():
             intro = f"{c}:" + "i" * (c % 7) * 9
