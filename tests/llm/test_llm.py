@@ -493,7 +493,7 @@ def test_blocks():
 
 
 def ordinary_page(rng, before, after):
-    """A page in markup that the training generator does not write: article paragraphs between ``before`` and ``after``."""
+    """A page of another build than those of the training generator, which knows some of the wrappers' names: an article between ``before`` and ``after``."""
     said = lambda k: " ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(k)).capitalize() + "."
     article = [said(rng.randint(8, 60)) for _ in range(5)]
     head = '<body><header class="site-header"><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav></header>'
