@@ -487,6 +487,44 @@ def test_control_pairs_avoid_candidates(spark):
     assert pairs.control_pairs(features.limit(0), candidates, 5).isEmpty()
 
 
+def test_candidates_in_short(spark):
+    """Equal titles are one class however many rows hold them, and the short form tells the same pairs as the list."""
+    from tamis.operators.exact import first_per_key
+
+    copies = [dict(url=f"c{i}", source=f"s{i % 3}", title="data analyst for the harbour office") for i in range(60)]
+    near = [dict(url="n1", title="data analyst harbour"), dict(url="n2", title="head cook"), dict(url="n3", title="data analyst for a harbour office in town")]
+    df, _ = table(spark, copies + near + [{k: v for k, v in r.items() if k != "ingest_seq"} for r in random_rows(6, n=30)])
+    features, shared = D.posting_features(first_per_key(df, "url", "ingest_seq"), D.Thresholds())
+    rows = [r.asDict() for r in features.filter("company <> ''").collect()]
+    text = {(r.a, r.b): r.shared for r in shared.collect()}
+
+    def alike(x, y):
+        a, b, least = set(x["words"]), set(y["words"]), min(x["n_kept"], y["n_kept"])
+        titles = bool(a and b and (a <= b or b <= a)) or bool(x["head"] and x["head"] == y["head"]) or bool(a | b) and len(a & b) * 2 >= len(a | b)
+        key = x["url_key"] is not None and x["url_key"] == y["url_key"]
+        return titles or key or (least >= 20 and 2 * text.get((x["id"], y["id"]), 0) >= least)
+
+    related = lambda c, d: c.startswith(d) or d.startswith(c)
+    every = {(x["id"], y["id"]) for x in rows for y in rows if x["id"] < y["id"] and related(x["company"], y["company"])}
+    by_id = {r["id"]: r for r in rows}
+    want = {(a, b) for a, b in every if alike(by_id[a], by_id[b])}
+    short = pairs.candidates(features, shared)
+    listed = [(r.a, r.b) for r in short.pairs().collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == want
+    assert short.count().first().n == len(want)
+    assert short.classes.count() + short.listed.count() < len(want) / 2
+    control = [(r.a, r.b) for r in pairs.control_pairs(features, short, 10_000).collect()]
+    assert len(control) == len(every - want) and set(control) == every - want
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    titles = spark.range(20).select(F.col("id").alias("cls"), F.concat(F.lit("acme"), F.col("id") % 2).alias("company"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("word"))
+    met = D.related(titles, titles, D.company_prefixes(titles), "word")
+    assert met.count() == 2 * 2 * 10 * 10
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [company" in plan and "SortMergeJoin [word" not in plan
+
+
 # ---- backfill -----------------------------------------------------------------------------------------------------
 
 
