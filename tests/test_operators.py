@@ -525,6 +525,22 @@ def test_exploded_rows_are_not_broadcast(spark):
     assert "SortMergeJoin [company" in plan and "SortMergeJoin [word" not in plan
 
 
+def test_catalogue_in_short(spark):
+    """Chats with the same filters share one packing, and only what is asked for is handed to each of them."""
+    postings = spark.createDataFrame(
+        [(f"u{i}", f"t{i}", "acme", ["junior"], {"fintech": ["x"]}, ["ml"], None, True) for i in range(40)],
+        "url string, title string, company string, level array<string>, industries map<string,array<string>>, matched_roles array<string>, published_at timestamp_ntz, is_target boolean",
+    )
+    chats = spark.createDataFrame([(c, ["fintech"], [], "active") for c in range(5)] + [(9, [], ["ml"], "active")], "chat_id long, industries array<string>, roles array<string>, status string")
+    packed, readers = delivery.catalogue_parts(postings, chats, ["fintech"])
+    assert packed.select("filters").distinct().count() == 2
+    sizes = delivery.to_readers(packed.select("filters", "message_no", F.length("text").alias("chars")), readers)
+    assert sizes.columns == ["chat_id", "message_no", "chars"]
+    whole = delivery.catalogue_messages(postings, chats, ["fintech"])
+    assert sorted(map(tuple, sizes.collect())) == sorted((r.chat_id, r.message_no, len(r.text)) for r in whole.collect())
+    assert {r.chat_id for r in sizes.collect()} == {0, 1, 2, 3, 4, 9}
+
+
 # ---- backfill -----------------------------------------------------------------------------------------------------
 
 
