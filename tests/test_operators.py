@@ -587,3 +587,18 @@ def test_gold_csv_is_read_by_name(spark, tmp_path):
     got = {r.url: r for r in read_gold(spark, str(path)).collect()}
     assert got["u1"].ds_role is True and got["u1"].comment == 'two\nlines, "quoted"'
     assert got["u2"].ds_role is False and got["u2"].unsure is True
+
+
+def test_fan_out_moves_no_pairs_of_chats_and_postings(spark):
+    """Small tables make many rows: the work is spread over tasks, and blocks come out one chat after the other."""
+    n, chats = 3000, 40
+    postings = spark.range(n).select(
+        F.col("id").cast("string").alias("url"), F.create_map(F.lit("fintech"), F.array(F.lit("x"))).alias("industries"), F.array(F.lit("ml")).alias("matched_roles")
+    )
+    subs = spark.range(chats).select(F.col("id").alias("chat_id"), F.lit("active").alias("status"), F.array().cast("array<string>").alias("industries"), F.array().cast("array<string>").alias("roles"))
+    got = delivery.fan_out(postings, subs, ["fintech"])
+    where = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in where) == n * chats and len(where) > 1
+    rows = [(r.chat_id, r.url) for r in got.collect()]
+    assert len(set(rows)) == n * chats
+    assert sum(a[0] != b[0] for a, b in zip(rows, rows[1:])) < n * chats / 20
