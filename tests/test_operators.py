@@ -602,3 +602,49 @@ def test_fan_out_moves_no_pairs_of_chats_and_postings(spark):
     rows = [(r.chat_id, r.url) for r in got.collect()]
     assert len(set(rows)) == n * chats
     assert sum(a[0] != b[0] for a, b in zip(rows, rows[1:])) < n * chats / 20
+
+
+def _delivery_tables(spark, n=700, chats=12):
+    """Postings known by two urls, two of them by a shared third one, one without any url; chats that have seen a few, all or none."""
+    rows = [(str(i), ["fintech", "edtech"][i % 2], "ml", [f"x{i}"] + (["both"] if i in (4, 5) else [])) for i in range(n)] + [(None, "fintech", "ml", ["lost"])]
+    posts = _postings(spark, rows)
+    subs = spark.createDataFrame([(c, ["fintech"] if c % 3 == 0 else [], [], "active", None, None, None) for c in range(chats)], SUBSCRIBER)
+    sent = [(c, ("x" if i % 4 else "") + str(i), ts("2026-10-01")) for c in range(1, chats) for i in range(0, n, c)] + [(7, "both", ts("2026-10-01")), (8, "lost", ts("2026-10-01"))]
+    return posts, subs, spark.createDataFrame(sent, DELIVERY)
+
+
+def _unseen_in_python(posts, subs, journal):
+    sent = {(r.chat_id, r.url) for r in journal.collect()}
+    return {
+        (s.chat_id, p.url)
+        for s in subs.collect() for p in posts.collect()
+        if (not s.industries or set(s.industries) & set(p.industries)) and (p.url is None or not any((s.chat_id, u) in sent for u in [p.url, *p.duplicate_urls]))
+    }
+
+
+def _moved_rows(df):
+    """Rows that the plan of ``df`` shuffles, known after it was run."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        while node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_unseen_postings_move_no_candidates(spark):
+    posts, subs, journal = _delivery_tables(spark)
+    new = delivery.new_postings(posts, subs, journal, ["fintech", "edtech"])
+    got = [(r.chat_id, r.url) for r in new.collect()]
+    assert len(got) == len(set(got)) and set(got) == _unseen_in_python(posts, subs, journal)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a history of some size
+    few = _moved_rows(delivery.new_postings(posts, subs, journal, ["fintech", "edtech"]))
+    many = _moved_rows(delivery.new_postings(posts, subs.unionByName(subs.withColumn("chat_id", F.col("chat_id") + 100)), journal, ["fintech", "edtech"]))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < many - few < 100 * 12  # further chats that have seen nothing take 701 or 351 postings each
