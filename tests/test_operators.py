@@ -648,3 +648,17 @@ def test_unseen_postings_move_no_candidates(spark):
     many = _moved_rows(delivery.new_postings(posts, subs.unionByName(subs.withColumn("chat_id", F.col("chat_id") + 100)), journal, ["fintech", "edtech"]))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < many - few < 100 * 12  # further chats that have seen nothing take 701 or 351 postings each
+
+
+def test_journal_rows_move_no_deliveries(spark):
+    posts, subs, journal = _delivery_tables(spark)
+    known, now = ["fintech", "edtech"], lit_ts("2026-10-03")
+    rows = lambda s: delivery.journal_rows(posts, s, delivery.seen_urls(journal, s), now, known)
+    urls = {p.url: [p.url, *p.duplicate_urls] for p in posts.collect() if p.url}
+    want = {(c, u) for c, url in _unseen_in_python(posts, subs, journal) if url for u in urls[url]}
+    got = [(r.chat_id, r.url) for r in rows(subs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (3, "both") in want and (9, "both") in want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    more = _moved_rows(rows(subs.unionByName(subs.withColumn("chat_id", F.col("chat_id") + 100)))) - _moved_rows(rows(subs))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < more < 200 * 12  # further chats are sent 1,401 or 701 urls each
