@@ -662,3 +662,27 @@ def test_journal_rows_move_no_deliveries(spark):
     more = _moved_rows(rows(subs.unionByName(subs.withColumn("chat_id", F.col("chat_id") + 100)))) - _moved_rows(rows(subs))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < more < 200 * 12  # further chats are sent 1,401 or 701 urls each
+
+
+def test_messages_of_a_delivery_in_ranges(spark):
+    """The same as one entry at a time, also where a chat has seen whole ranges, and texts are not moved once per chat."""
+    rng = random.Random(5)
+    posts, subs, journal = _delivery_tables(spark, 140, 9)
+    posts = posts.withColumn("title", F.expr("repeat('x', cast(coalesce(url, '0') as int) * 37 % 60)")).localCheckpoint()
+    sent = [(5, str(i), ts("2026-10-01")) for i in range(rng.randrange(10), 100)] + [(6, str(i), ts("2026-10-01")) for i in range(140)]
+    journal = journal.unionByName(spark.createDataFrame(sent, DELIVERY)).localCheckpoint()
+    known = ["fintech", "edtech"]
+    seen = delivery.seen_urls(journal, subs).localCheckpoint()
+    chosen = delivery.new_postings(posts, subs, journal, known).filter("url is not null").localCheckpoint()
+    items, openings = delivery.digest_items(chosen, posts, subs, seen)
+    openings, bodies = {r.chat_id: r.intro for r in openings.collect()}, {}
+    for r in items.orderBy("chat_id", "place").collect():
+        bodies.setdefault(r.chat_id, []).append(r.body)
+    for size, limit in ((16, 150), (16, 1500), (64, 300), (8192, 3500)):
+        got = delivery.deliver_messages(posts, subs, seen, known, max_length=limit, size=size).collect()
+        assert {r.chat_id for r in got} == set(bodies)
+        for c, bs in bodies.items():
+            mine = sorted((r for r in got if r.chat_id == c), key=lambda r: r.message_no)
+            assert [r.text for r in mine] == _one_entry_at_a_time(openings[c], bs, limit), (size, limit, c)
+            assert [r.message_no for r in mine] == list(range(1, 1 + len(mine)))
+    assert _moved_rows(delivery.deliver_messages(posts, subs, seen, known)) < sum(map(len, bodies.values())) / 4
