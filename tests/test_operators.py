@@ -686,3 +686,17 @@ def test_messages_of_a_delivery_in_ranges(spark):
             assert [r.text for r in mine] == _one_entry_at_a_time(openings[c], bs, limit), (size, limit, c)
             assert [r.message_no for r in mine] == list(range(1, 1 + len(mine)))
     assert _moved_rows(delivery.deliver_messages(posts, subs, seen, known)) < sum(map(len, bodies.values())) / 4
+
+
+def test_catalogue_is_handed_out_without_broadcasts(spark):
+    # a row per chat and share, and texts, are larger than the optimizer takes them to be
+    chats = spark.range(20).select(F.col("id").alias("chat_id"), (F.col("id") % 2).cast("string").alias("filters"))
+    packed = spark.range(100).select((F.col("id") % 2).cast("string").alias("filters"), F.col("id").alias("message_no"), F.lit("x").alias("text"))
+    out = delivery.to_readers(packed, chats)
+    assert out.count() == 1000
+    posts = spark.createDataFrame([("a", "t", "c", None, None)], "url string, title string, company string, level array<string>, published_at timestamp_ntz")
+    subs = spark.createDataFrame([(1, [], [])], "chat_id long, industries array<string>, roles array<string>")
+    items, _ = delivery.digest_items(spark.createDataFrame([(1, "a")], "chat_id long, url string"), posts, subs, None)
+    assert items.count() == 1
+    for df in (out, items):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
