@@ -44,6 +44,7 @@ GRAPH_K = 16
 RECALL = 0.95
 PROBE_QUERIES = 1024
 CHUNK = 4096
+SCORES = 1 << 20  # scores that the driver holds at once while it learns
 
 
 def valid(vector: Column) -> Column:
@@ -51,15 +52,25 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(F.exists(vector, bad), F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
+def neighbour_graph_of(queries: np.ndarray, points: np.ndarray, k: int, others: bool = False) -> np.ndarray:
+    """The ``k`` points of largest inner product with each query, itself included (``others``: queries are the points, and left out).
+
+    What is held at a time are ``SCORES`` scores, whatever the number of points.
+    """
+    k = min(k, len(points) - others)
+    out = np.empty((len(queries), k), np.int64)
+    step = max(1, SCORES // len(points))
+    for at in range(0, len(queries), step):
+        scores = queries[at : at + step] @ points.T
+        if others:
+            scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
+        out[at : at + step] = np.argpartition(np.negative(scores, out=scores), k - 1, axis=1)[:, :k]
+    return out
+
+
 def neighbour_graph(points: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` nearest others of each point by inner product."""
-    k = min(k, len(points) - 1)
-    out = np.empty((len(points), k), np.int64)
-    for at in range(0, len(points), 512):
-        scores = points[at : at + 512] @ points.T
-        scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-        out[at : at + 512] = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return out
+    return neighbour_graph_of(points, points, k, others=True)
 
 
 def balanced_parts(graph: np.ndarray, depth: int, rng: np.random.Generator) -> np.ndarray:
@@ -108,7 +119,13 @@ class Router:
         a, b, c, d = self.weights
         return np.maximum(x @ a + b, 0) @ c + d
 
-    def fit(self, x: np.ndarray, target: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 4) -> None:
+    def best(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each row."""
+        step = max(1, SCORES // len(self.weights[3]))
+        return np.concatenate([np.argmax(self.logits(x[at : at + step]), axis=1) for at in range(0, max(len(x), 1), step)])
+
+    def fit(self, x: np.ndarray, marks: np.ndarray, weights: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, seed: int = 4) -> None:
+        """Learn that row ``i`` lies in the parts ``marks[i]``, as probable as the ``weights`` of these marks add up to."""
         rng = np.random.default_rng(seed)
         m, v, t = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
         for _ in range(epochs):
@@ -120,7 +137,9 @@ class Router:
                 z = h @ c + d
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                g = (p - target[rows]) / len(rows)
+                target = np.zeros_like(p)
+                np.add.at(target, (np.arange(len(rows))[:, None], marks[rows]), weights)
+                g = (p - target / target.sum(axis=1, keepdims=True)) / len(rows)
                 back = (g @ c.T) * (h > 0)
                 t += 1
                 for i, grad in enumerate((x[rows].T @ back, back.sum(0), h.T @ g, g.sum(0))):
@@ -141,31 +160,19 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 def fit(sample: np.ndarray, depth: int, longest: float) -> tuple[Router, Router]:
     """Learn ``2 ** depth`` parts from a sample: the network that places vectors, and the one that routes queries."""
-    at = np.arange(len(sample))
     high = lifted(sample, longest)
     graph = neighbour_graph(high, GRAPH_K)
     part = balanced_parts(graph, depth, np.random.default_rng(2))
-    spread = np.zeros((len(sample), 1 << depth))
-    np.add.at(spread, (at, part), 2.0)
-    np.add.at(spread, (np.repeat(at, graph.shape[1]), part[graph].ravel()), 1.0)
     place = Router(high.shape[1], 1 << depth)
-    place.fit(high, spread / spread.sum(axis=1, keepdims=True))
+    place.fit(high, np.column_stack([part, part[graph]]), np.append(2.0, np.ones(graph.shape[1])))
     # where placed vectors end up is what a query has to find
-    part = np.argmax(place.logits(high), axis=1)
+    part = place.best(high)
     nearest = neighbour_graph_of(sample, sample, GRAPH_K)
-    wanted = np.zeros((len(sample), 1 << depth))
-    np.add.at(wanted, (np.repeat(at, nearest.shape[1]), part[nearest].ravel()), 1.0)
     route = Router(sample.shape[1], 1 << depth)
-    route.fit(unit(sample), wanted / wanted.sum(axis=1, keepdims=True))
+    route.fit(unit(sample), part[nearest], np.ones(nearest.shape[1]))
     return place, route
 
 
-def neighbour_graph_of(queries: np.ndarray, points: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` points of largest inner product with each query, itself included."""
-    k = min(k, len(points))
-    return np.vstack([np.argpartition(-(queries[at : at + 512] @ points.T), k - 1, axis=1)[:, :k] for at in range(0, len(queries), 512)])
-
-
 def probes_needed(place: Router, route: Router, queries: np.ndarray, points: np.ndarray, longest: float, k: int, recall: float) -> int:
     """Parts that a query visits so that ``recall`` of its ``k`` nearest are there, on vectors that were not learned from.
 
@@ -173,7 +180,7 @@ def probes_needed(place: Router, route: Router, queries: np.ndarray, points: np.
     """
     order = np.argsort(-route.logits(unit(queries)), axis=1, kind="stable")
     nearest = neighbour_graph_of(queries, points, k)
-    part = np.argmax(place.logits(lifted(points, longest)), axis=1)
+    part = place.best(lifted(points, longest))
     turn = np.argsort(order, axis=1)  # when a query comes to a part
     visit = np.sort(np.take_along_axis(turn, part[nearest], axis=1).ravel())
     return int(visit[min(len(visit) - 1, int(np.ceil(recall * len(visit))) - 1)]) + 1

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -215,6 +216,17 @@ def test_neighbours_by_inner_product_of_unequal_lengths(spark):
         assert hit / (40 * 20) >= 0.9
 
 
+def test_neighbours_are_learned_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((6000, 8))
+    tracemalloc.start()
+    found = neighbours.neighbour_graph_of(points[:3000], points, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all scores would take 144 MB
+    assert (np.sort(found[:50], axis=1) == np.sort(np.argsort(-(points[:50] @ points.T), axis=1)[:, :16], axis=1)).all()
+
+
 def test_neighbours_asked_twice_are_those_of_one_question(spark):
     """Whatever a part tells first, the answer is that of ranking all visited vectors."""
     rng = np.random.default_rng(9)
